@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.errors import OutOfWindow, UniqueViolation
+from rivulet.operators.order import numbered
 
 
 def _latest(log: DataFrame, key: list[str], *order: Column) -> DataFrame:
@@ -102,18 +103,11 @@ def overlay(base: DataFrame, upserts: DataFrame, deletes: DataFrame, key: list[s
 
 def auto_increment(rows: DataFrame, column: str, last: int, order: list[str]) -> DataFrame:
     """Zero becomes the next number after ``last`` and all explicit ones.
-
-    Numbers are dealt in two levels - where each partition starts, then the place within it - so no task sorts all rows.
     """
-    top = rows.agg(F.greatest(F.lit(last).cast("long"), F.coalesce(F.max(column), F.lit(0))).alias("top"))
-    fresh = rows.where(F.col(column) == 0).repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = fresh.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
-    sizes = placed.groupBy("_part").count()
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))  # a row for each partition
-    number = F.col("top") + F.col("_start") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1
-    numbered = placed.join(F.broadcast(starts), "_part").crossJoin(F.broadcast(top)).withColumn(column, number)
-    return numbered.select(*rows.columns).unionByName(rows.where(F.col(column) != 0))
+    top = rows.agg(F.greatest(F.lit(last).cast("long"), F.coalesce(F.max(column), F.lit(0))).alias("_top"))  # one row
+    fresh = numbered(rows.where(F.col(column) == 0), order, "_n").crossJoin(F.broadcast(top))
+    fresh = fresh.withColumn(column, F.col("_top") + F.col("_n")).select(*rows.columns)
+    return fresh.unionByName(rows.where(F.col(column) != 0))
 
 
 def net_changes(log: DataFrame, key: list[str]) -> DataFrame:

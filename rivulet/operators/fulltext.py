@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -164,28 +166,59 @@ def _frequencies(post: DataFrame, key: str, item: Item) -> DataFrame:
     return places.groupBy(key).agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(df: DataFrame, key: str, text: str, query: str, analyzer: Analyzer) -> DataFrame:
-    """(key, _score) of the documents in which every item of ``query`` occurs.
+def _score(n_docs: Column, avg_len: Column, dl: Column, df: Column, tf: Column) -> Column:
+    idf = F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.greatest(avg_len, F.lit(1.0))))
+
 
-    One pass analyses the documents for lengths, one for the postings of the query's terms alone. Item frequencies,
-    document frequencies and the corpus's two numbers come from them; the latter is a single row.
+def with_score(df: DataFrame, text: str, query: str, analyzer: Analyzer) -> DataFrame:
+    """The rows in which every item of ``query`` occurs, with ``_score`` by BM25 over all rows of ``df``.
+
+    Two passes analyse each text once: one for the corpus's numbers - its size, mean length and each item's document
+    frequency, a single row - and one for the scores. Nothing else is shuffled.
     """
     items = match_items(query, analyzer)
-    lengths = document_lengths(df, key, text, analyzer)
-    post = postings(df, key, text, analyzer)
+    terms = F.col("_terms")
+    rows = df.withColumn("_terms", analyzer.terms(text_column(df, text)))
+    rows = rows.select(*df.columns, F.size(terms).alias("_dl"), F.array(*(_occurrences(terms, item) for item in items)).alias("_tf"))
+    seen = [F.sum((F.col("_tf")[k] > 0).cast("long")) for k in range(len(items))]
+    corpus = rows.agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avg"), F.array(*seen).alias("_df"))
+    found = rows.where(F.forall("_tf", lambda x: x > 0)).crossJoin(F.broadcast(corpus))  # one row
+    parts = [_score(F.col("_n"), F.col("_avg"), F.col("_dl"), F.col("_df")[k], F.col("_tf")[k]) for k in range(len(items))]
+    return found.select(*df.columns, sum(parts[1:], parts[0]).alias("_score"))
+
+
+def bm25(df: DataFrame, key: str, text: str, query: str, analyzer: Analyzer) -> DataFrame:
+    """(key, _score) of the documents in which every item of ``query`` occurs."""
+    return with_score(df.select(key, text), text, query, analyzer).select(key, "_score")
+
+
+def bm25_from_postings(post: DataFrame, lengths: DataFrame, key: str, query: str, analyzer: Analyzer) -> DataFrame:
+    """The same from stored postings and lengths: only the postings of the query's terms are read."""
+    items = match_items(query, analyzer)
     found = None
     for k, item in enumerate(items):
         part = _frequencies(post, key, item).withColumn("item", F.lit(k))
         found = part if found is None else found.unionByName(part)
     df_of = found.groupBy("item").agg(F.count(F.lit(1)).alias("df"))  # a row for each item of the query
     scored = found.join(F.broadcast(df_of), "item").join(lengths, key).crossJoin(F.broadcast(corpus_stats(lengths)))
-    n, d = F.col("n_docs"), F.col("df")
-    idf = F.log(1 + (n - d + 0.5) / (d + 0.5))
-    norm = K1 * (1 - B + B * F.col("dl") / F.greatest(F.col("avg_len"), F.lit(1.0)))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+    part = _score(F.col("n_docs"), F.col("avg_len"), F.col("dl"), F.col("df"), F.col("tf"))
     return scored.groupBy(key).agg(F.sum(part).alias("_score"), F.count(F.lit(1)).alias("n")).where(F.col("n") == len(items)).drop("n")
 
 
+def _occurrences(terms: Column, item: Item) -> Column:
+    """How often an item occurs among the terms of a text."""
+    if item.kind == "prefix":
+        return F.size(F.filter(terms, _begins(item.terms[0][1])))
+    if item.kind == "term":
+        return F.size(F.filter(terms, _is(item.terms[0][1])))
+    places = [F.transform(F.filter(terms, _is(t)), _before(p)) for p, t in item.terms]
+    common = places[0]
+    for other in places[1:]:
+        common = F.array_intersect(common, other)
+    return F.size(common)
+
+
 def _is(term: str):
     return lambda x: x["term"] == term
 
@@ -201,17 +234,4 @@ def _before(distance: int):
 def matches(text: Column, query: str, analyzer: Analyzer) -> Column:
     """Whether a text matches, by itself: the predicate for filters and live deltas."""
     terms = analyzer.terms(text)
-    out = F.lit(True)
-    for item in match_items(query, analyzer):
-        anchor = item.terms[0][1]
-        if item.kind == "prefix":
-            out = out & F.exists(terms, _begins(anchor))
-        elif item.kind == "term":
-            out = out & F.exists(terms, _is(anchor))
-        else:
-            places = [F.transform(F.filter(terms, _is(t)), _before(p)) for p, t in item.terms]
-            common = places[0]
-            for other in places[1:]:
-                common = F.array_intersect(common, other)
-            out = out & (F.size(common) > 0)
-    return out
+    return reduce(and_, (_occurrences(terms, item) > 0 for item in match_items(query, analyzer)))

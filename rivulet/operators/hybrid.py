@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rivulet.operators.order import numbered
+
 #: The fusion constant, and how many rows reach retrievers and rerankers.
 RRF_K, TOP = 60, 100
 
@@ -55,5 +57,5 @@ def rerank(scored: DataFrame, key: str, score: str, hook: Callable[[DataFrame],
         named = head.select(key, F.lit(None).cast("int").alias("_rank"))
     inside = head.select(key).withColumn("_in", F.lit(True))
     joined = scored.join(F.broadcast(inside), key, "left").join(F.broadcast(named.join(inside.drop("_in"), key, "left_semi")), key, "left")
-    order = Window.orderBy(F.desc_nulls_last("_in"), F.asc_nulls_last("_rank"), F.desc(score), key)
-    return joined.select(key, F.row_number().over(order).alias("position"))
+    order = [F.desc_nulls_last("_in"), F.asc_nulls_last("_rank"), F.desc(score), F.asc(key)]
+    return numbered(joined, order, "position").select(key, "position")

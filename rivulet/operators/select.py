@@ -161,12 +161,9 @@ class Compiled:
     def apply(self, df: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
         if bounds.scan_budget is not None and df.limit(bounds.scan_budget + 1).count() > bounds.scan_budget:
             raise ScanBudgetExceeded(f"more than {bounds.scan_budget} rows")
-        out = df.where(self.predicate)
-        if self.score:
-            column, query, analyzer = self.score
-            key = self.spec.primary_key[0]
-            scores = fulltext.bm25(df, key, column, query, analyzer)
-            out = out.join(scores, key)
+        # Scores are over the whole table, whatever the other conditions are.
+        out = fulltext.with_score(df, *self.score) if self.score else df
+        out = out.where(self.predicate)
         if self.order:
             out = out.orderBy(*self.order)
         limit = bounds.limit(self.limit)

@@ -64,7 +64,7 @@ class VersionedTable:
     def changes(self, after: int = 0) -> DataFrame:
         """The log of later versions, in whole."""
         log = self.spark.read.option("basePath", f"{self.path}/changes").parquet(f"{self.path}/changes")
-        return log.where(F.col("version") > after).join(F.broadcast(self.commits().select("version")), "version", "left_semi")
+        return log.where(F.col("version") > after).join(self.commits().select("version"), "version", "left_semi")
 
     def copy_to(self, path: str) -> None:
         """A backup: the live snapshot and its log under another root."""

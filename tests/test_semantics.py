@@ -154,6 +154,15 @@ def test_duplicate_items_count_twice(spark):
     assert {r["id"]: pytest.approx(2 * r["_score"]) for r in once} == twice
 
 
+def test_stored_postings_score_alike(spark):
+    analyzer = fulltext.Analyzer("english", True, True)
+    post, lengths = fulltext.postings(items(spark), "id", "note", analyzer), fulltext.document_lengths(items(spark), "id", "note", analyzer)
+    for query in ("kings", 'ki* "sword of the ancient"', '"ancient kings" sword'):
+        stored = {r["id"]: r["_score"] for r in fulltext.bm25_from_postings(post, lengths, "id", query, analyzer).collect()}
+        direct = {r["id"]: pytest.approx(r["_score"]) for r in fulltext.bm25(items(spark), "id", "note", query, analyzer).collect()}
+        assert stored == direct and stored
+
+
 def test_repeated_word_in_a_phrase(spark):
     df = spark.createDataFrame([(1, "a b a"), (2, "a a b"), (3, "b a")], "id long, note string")
     assert ids(fulltext.bm25(df, "id", "note", '"a a"', fulltext.Analyzer())) == [2]
@@ -406,3 +415,65 @@ def test_documents_converge(spark):
         assert got == {1: want}
     old, new = spark.createDataFrame(ops[:3], crdt.OPS), spark.createDataFrame(ops, crdt.OPS)
     assert crdt.patch(old, new).count() == 3 and crdt.next_seq(new).first()["next_seq"] == 6
+
+
+# Transactions
+
+PARENT = TableSpec("parent", (Column("id", "id"), Column("v", "i64")), ("id",))
+CHILD = TableSpec("child", (Column("id", "id"), Column("parent", "id"), Column("twice", "i64", computed="parent * 2")), ("id",), foreign_keys=(ForeignKey("parent", "parent", "id", "cascade"),))
+TABLES = Catalog(PARENT, CHILD)
+
+
+def state(spark):
+    return {"parent": spark.createDataFrame([(1, 10), (2, 20)], "id long, v long"), "child": spark.createDataFrame([(1, 1, 2), (2, 2, 4)], "id long, parent long, twice long")}
+
+
+def test_transaction_sees_its_writes_and_commits_them(spark):
+    from rivulet.operators import txn
+
+    seen = {}
+
+    def procedure(t):
+        t.insert("parent", spark.createDataFrame([(3, 30)], "id long, v long"))
+        t.insert("child", spark.createDataFrame([(7, 3, 0)], "id long, parent long, twice long"))
+        t.upsert("parent", spark.createDataFrame([(2, 20), (1, 11)], "id long, v long"))
+        t.delete_where("parent", F.col("v") == 20)
+        seen.update(scan=ids(t.scan("parent")), pending=ids(t.scan_pending("parent")), old=ids(t.snapshot("parent")), one=t.get("parent", 1).first()["v"])
+
+    tables, log = txn.run(procedure, TABLES, state(spark))
+    assert seen == {"scan": [1, 3], "pending": [1, 3], "old": [1, 2], "one": 11}
+    assert ids(tables["parent"]) == [1, 3] and sorted(map(tuple, tables["child"].select("id", "parent", "twice").collect())) == [(1, 1, 2), (7, 3, 6)]
+    assert sorted((r["op"], r["id"]) for r in log["parent"].collect()) == [("delete", 2), ("insert", 3), ("update", 1)]
+    assert sorted((r["op"], r["id"]) for r in log["child"].collect()) == [("delete", 2), ("insert", 7)]
+
+
+def test_transaction_refuses_as_a_whole(spark):
+    from rivulet.operators import txn
+
+    before = state(spark)
+    with pytest.raises(E.UniqueViolation):
+        txn.run(lambda t: t.insert("parent", spark.createDataFrame([(1, 0)], "id long, v long")), TABLES, before)
+    with pytest.raises(E.ForeignKeyViolation):
+        txn.run(lambda t: t.insert("child", spark.createDataFrame([(9, 9, 0)], "id long, parent long, twice long")), TABLES, before)
+    with pytest.raises(E.EngineError):
+        endless = lambda t: t.call(endless)
+        txn.run(endless, TABLES, before)
+    tables, log = txn.run(lambda t: (t.insert("parent", spark.createDataFrame([(5, 0)], "id long, v long")), t.delete("parent", spark.createDataFrame([(5,)], "id long"))), TABLES, before)
+    assert ids(tables["parent"]) == [1, 2] and log["parent"].count() == 0
+
+
+def test_triggers_of_a_transaction(spark):
+    from rivulet.operators import txn
+
+    trigger = lambda event, rows: {"child": rows.selectExpr("id + 100 as id", "id as parent", "cast(id * 2 as long) as twice")}
+    tables, _ = txn.run(lambda t: t.insert("parent", spark.createDataFrame([(3, 30)], "id long, v long")), TABLES, state(spark), triggers={"parent": [trigger]})
+    assert ids(tables["child"]) == [1, 2, 103]
+
+
+def test_deadline(spark):
+    from rivulet.operators.limits import within
+
+    assert within(spark, 60, lambda: spark.range(3).count()) == 3
+    slow = spark.range(0, 1 << 36, 1, 64).select(F.sum(F.sqrt("id")))
+    with pytest.raises(E.DeadlineExceeded):
+        within(spark, 1, slow.collect)
