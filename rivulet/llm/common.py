@@ -1,42 +1,23 @@
-"""Shared pieces of the corpus operators: shared-folder tables, Arrow limits and word arrays."""
+"""Shared pieces of the corpus operators: Arrow limits, groups of sorted batches and word arrays."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from rivulet.sources.shared import materialize, shared_dir, write_once
+
+__all__ = ["BATCH_BYTES", "arrow_map", "binaries", "materialize", "shared_dir", "sorted_groups", "words_of", "write_once"]
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Most bytes of one Arrow batch handed to Python: bounds a worker's memory whatever the text lengths are.
 BATCH_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/rivulet-checkpoints"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    This cuts lineage in a way that outlives executors, and drops the shuffle files of the writing job.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/rivulet/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with bounded batch bytes."""
     spark = df.sparkSession

@@ -113,7 +113,35 @@ QUERIES = {
     )
 }
 
+_ESCAPED = r"replace(replace(replace({0}, '\', '\\'), '<', '\l'), '#', '\h')"
+_BUDGET, _HISTORY = chat_format.BUDGET, chat_format.HISTORY
+
 ORACLES = {
+    "op7_chat_format": rf"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        numbered AS (
+            SELECT *, ceil(strlen(text) / 4.0) + 4 AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM turns),
+        placed AS (
+            SELECT *, n = 1 AND role = 'system' AS sys,
+                   coalesce(sum(CASE WHEN n = 1 AND role = 'system' THEN 0 ELSE cost END) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+                   coalesce(max(CASE WHEN n = 1 AND role = 'system' THEN cost END) OVER (PARTITION BY conv_id), 0) AS sys_cost FROM numbered),
+        cells AS (
+            SELECT *, CASE WHEN sys THEN 0 ELSE floor(start / greatest(1, floor(({_BUDGET} - sys_cost - {_HISTORY}) / 2))) END AS cell FROM placed),
+        opened AS (SELECT *, coalesce(lag(cell) OVER (PARTITION BY conv_id ORDER BY n) <> cell, true) AS opens FROM cells),
+        windows AS (
+            SELECT *, sum(CAST(opens AS BIGINT)) OVER (PARTITION BY conv_id) - 1 AS last_window,
+                   first_value(CASE WHEN opens THEN start END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_start
+            FROM opened),
+        sized AS (
+            SELECT *, 1 + CASE WHEN sys THEN last_window WHEN start >= next_start - {_HISTORY} THEN 1 ELSE 0 END AS copies,
+                   14 + length(replace({_ESCAPED.format("role")}, ':', '\c')) + length({_ESCAPED.format("text")}) AS size FROM windows)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+               length(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(copies * size) AS BIGINT) AS formatted_chars
+        FROM sized GROUP BY conv_id""",
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.llm.byte_bpe import spans
-from rivulet.llm.common import _CLEANUP, arrow_map
+from rivulet.llm.common import arrow_map, write_once
 
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
 CACHE = 600_000
@@ -171,21 +171,14 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int | N
     kind = source.schema[0].dataType.simpleString()
     ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     encoded = arrow_map(ordered, run, f"part int, row long, doc_id {kind}, n_tokens long, ids array<int>")
-    spark = docs.sparkSession
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        (
-            encoded.write.option("compression", "zstd")
-            .option("parquet.block.size", str(ROW_GROUP))
-            .option("parquet.page.size", str(PAGE))
-            .option("parquet.dictionary.page.size", str(1 << 20))
-            .option("parquet.enable.dictionary", "true")
-            .option("parquet.writer.version", "PARQUET_2_0")
-            .parquet(out)
-        )
-    finally:
-        spark.conf.set(_CLEANUP, before)
+    options = {
+        "parquet.block.size": str(ROW_GROUP),
+        "parquet.page.size": str(PAGE),
+        "parquet.dictionary.page.size": str(1 << 20),
+        "parquet.enable.dictionary": "true",
+        "parquet.writer.version": "PARQUET_2_0",
+    }
+    write_once(encoded, out, **options)
 
 
 def document_starts(meta: DataFrame) -> DataFrame:
