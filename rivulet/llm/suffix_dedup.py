@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,49 +45,44 @@ LENGTH, V = 100, 57
 #: Singer's perfect difference set of order 7: every difference modulo 57 but 0 occurs exactly once.
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 BLOCK_BYTES = 2 << 20
-SAMPLE_PASSES, PASSES = 2, 5
+SAMPLE_PASSES, PASSES = 2, 4
 BUCKET = 2_000_000
-_PIECE = 1 << 17
+_PIECE = 1 << 16
+#: Odd bases of the polynomial hashes: one for order, one for the check.
+_BASES = (0x9E6C63D0876A9A47, 0xD1342543DE82EF95)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
 
 
-def window_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """64-bit hash of the ``size`` bytes at each of the positions that have so many, by doubling."""
-    n = len(data) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.empty(n, np.uint64)
-    for a in range(0, n, _PIECE):  # pieces small enough for the cache
-        h = data[a : min(n, a + _PIECE) + size - 1].astype(np.uint64) + np.uint64(1)
-        width = 1
-        while 2 * width <= size:
-            h = _pair(h[:-width], h[width:])
-            width *= 2
-        if width < size:
-            h = _pair(h[: len(h) - (size - width)], h[size - width :])
-        out[a : a + _PIECE] = h
-    return out
+@lru_cache(maxsize=4)
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**k and base**-k modulo 2**64."""
+    out = np.full((2, n), base, np.uint64)
+    out[1] = pow(base, -1, 1 << 64)
+    out[:, 0] = 1
+    return tuple(np.cumprod(out, axis=1))
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = a * _M1
-    x ^= x >> np.uint64(31)
-    x += b
-    x *= _M2
-    x ^= x >> np.uint64(29)
-    return x
+def string_hashes(data: np.ndarray, at: np.ndarray, size: int, base: int) -> np.ndarray:
+    """Hash of the ``size`` bytes at each of the ascending positions: polynomials from prefix sums, piece by piece."""
+    out = np.empty(len(at), np.uint64)
+    power, inverse = _powers(base, _PIECE + size)
+    for a in range(int(at[0]) // _PIECE * _PIECE if len(at) else 0, int(at[-1]) + 1 if len(at) else 0, _PIECE):
+        lo, hi = np.searchsorted(at, [a, a + _PIECE])
+        if lo == hi:
+            continue
+        piece = data[a : a + _PIECE + size - 1]
+        sums = np.empty(len(piece) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum((piece + np.uint64(1)) * power[: len(piece)], out=sums[1:])
+        x = at[lo:hi] - a
+        out[lo:hi] = (sums[x + size] - sums[x]) * inverse[x]
+    return _mixed(out)
 
 
-def check_hashes(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """32 more bits for the strings at the given positions: a polynomial in another base."""
-    base = np.uint64(0x2545F4914F6CDD1D)
-    out = np.zeros(len(at), np.uint64)
-    words = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
-    for k in range(0, size, 8):
-        k = min(k, size - 8)
-        out = out * base + np.ascontiguousarray(words[at + k]).view("<u8")[:, 0]
-        out ^= out >> np.uint64(27)
-    return ((out * _M1) >> np.uint64(32)).astype(np.uint32)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _M1
+    x = (x ^ (x >> np.uint64(29))) * _M2
+    return x ^ (x >> np.uint64(32))
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
@@ -149,16 +145,18 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
+def _bucket(hashes: np.ndarray, total: int) -> np.ndarray:
+    return (((hashes >> np.uint64(40)) * np.uint64(total)) >> np.uint64(24)).astype(np.int64)
+
+
 def _emitter(pick, total: int, lo: int, hi: int, schema: pa.Schema):
-    """Rows of the buckets lo..hi of ``total`` of each block; pick gives places, bucket hash and columns."""
+    """Rows of the buckets lo..hi of ``total`` of each block; pick gives hashes and columns of a block's suffixes there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                own, hashes, columns = pick(row)
-                bucket = ((hashes >> np.uint64(40)) * np.uint64(total)) >> np.uint64(24)
-                here = (bucket >= lo) & (bucket < hi)
-                rows = list(_dealt(row["block"], bucket[here].astype(np.int64), [c[here] for c in columns]))
+                bucket, columns = pick(row, lambda hashes: (b := _bucket(hashes, total), (b >= lo) & (b < hi)))
+                rows = list(_dealt(row["block"], bucket, columns))
                 for a in range(0, len(rows), 512):
                     yield _rows(rows[a : a + 512], schema)
 
@@ -169,49 +167,53 @@ _SAMPLE_SCHEMA = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("has
 _SUFFIX_SCHEMA = pa.schema([*_SAMPLE_SCHEMA, ("check", pa.binary())])
 
 
-def _pick_cover(row: dict):
+def _pick_cover(row: dict, choose):
     """The sampled suffixes of a block."""
     edges, sizes = _texts(row["sizes"])
     data = np.frombuffer(row["data"], np.uint8)
     gram = LENGTH - V + 1
     shift = np.zeros(V, bool)
     shift[list(COVER)] = True
-    inside = np.arange(len(data)) - np.repeat(edges[:-1], sizes)
+    inside = np.arange(len(data), dtype=np.int32) - np.repeat(edges[:-1], sizes).astype(np.int32)
     place = np.flatnonzero(shift[inside % V] & _starts(edges, gram))
-    hashes = window_hashes(data, gram)[place] if len(place) else np.zeros(0, np.uint64)
-    return place, hashes, [hashes, place.astype("<u4")]
+    hashes = string_hashes(data, place, gram, _BASES[0])
+    bucket, here = choose(hashes)
+    return bucket[here], [hashes[here], place[here].astype("<u4")]
 
 
-def _pick_suffixes(row: dict):
+def _pick_suffixes(row: dict, choose):
     """The suffixes that a sampled one with a double vouches for; of equal ones in a block the first alone."""
-    place, hashes, check, _ = _suffixes(row)
-    return place, hashes, [hashes, place.astype("<u4"), check]
+    data = np.frombuffer(row["data"], np.uint8)
+    place = _vouched(row, row["bits"])
+    hashes = string_hashes(data, place, LENGTH, _BASES[0])
+    bucket, here = choose(hashes)
+    place, hashes, bucket = place[here], hashes[here], bucket[here]
+    first = _firsts(place, hashes)
+    place, hashes, bucket = place[first], hashes[first], bucket[first]
+    check = (string_hashes(data, place, LENGTH, _BASES[1]) >> np.uint64(32)).astype(np.uint32)
+    return bucket, [hashes, place.astype("<u4"), check]
+
+
+def _vouched(row: dict, sampled: list[bytes] | None) -> np.ndarray:
+    """Positions with ``LENGTH`` bytes of one document and one of the ``sampled`` places within the next V bytes."""
+    edges, _ = _texts(row["sizes"])
+    mark = np.zeros(edges[-1] + 1, np.int32)
+    at = _places(sampled)
+    np.add.at(mark, np.maximum(at - V + 1, 0), 1)
+    np.add.at(mark, at + 1, -1)
+    return np.flatnonzero((np.cumsum(mark)[:-1] > 0) & _starts(edges, LENGTH))
 
 
-def _suffixes(row: dict):
-    edges, _ = _texts(row["sizes"])
-    data = np.frombuffer(row["data"], np.uint8)
-    mark = np.zeros(len(data) + 1, np.int32)
-    for x in row["places"] or ():
-        at = np.frombuffer(x, "<u4").astype(np.int64)
-        np.add.at(mark, np.maximum(at - V + 1, 0), 1)
-        np.add.at(mark, at + 1, -1)
-    place = np.flatnonzero((np.cumsum(mark)[:-1] > 0) & _starts(edges, LENGTH))
+def _firsts(place: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the positions are the first with their hash."""
     if not len(place):
-        return place, np.zeros(0, np.uint64), np.zeros(0, np.uint32), place
-    # Hash only the runs of bytes that matter, laid end to end.
-    new = np.concatenate([[True], np.diff(place) > 1])
-    first = place[new]
-    count = np.diff(np.concatenate([np.flatnonzero(new), [len(place)]]))
-    size = count + LENGTH - 1
-    ends = np.cumsum(size)
-    runs = data[np.arange(ends[-1]) + np.repeat(first - (ends - size), size)]
-    at = place - np.repeat(first - (ends - size), count)
-    hashes = window_hashes(runs, LENGTH)[at]
-    order = np.lexsort((place, hashes))
-    again = np.concatenate([[False], hashes[order][1:] == hashes[order][:-1]])
-    keep = np.sort(order[~again])
-    return place[keep], hashes[keep], check_hashes(runs, at[keep], LENGTH), np.sort(place[order[again]])
+        return np.zeros(0, bool)
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    out = np.zeros(len(place), bool)
+    out[np.minimum.reduceat(order, start)] = True  # positions ascend, so the least index is the first of a group
+    return out
 
 
 def _reducer(earliest_stays: bool):
@@ -240,6 +242,21 @@ def _reducer(earliest_stays: bool):
     return run
 
 
+def _as_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of each block, from all buckets, as one bitmap: a bit where a list would take four bytes."""
+    for group in sorted_groups(batches, ["block"]):
+        place = np.concatenate([np.frombuffer(x, "<u4") for x in group["places"].to_pylist()])
+        bits = np.zeros(int(place.max()) + 1, np.uint8)
+        bits[place] = 1
+        yield pa.RecordBatch.from_arrays([group["block"].combine_chunks()[:1], pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["block", "bits"])
+
+
+def _places(bitmaps: list[bytes] | None) -> np.ndarray:
+    """Places that any of the bitmaps holds."""
+    found = [np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8))) for b in bitmaps or ()]
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
 def _dealt_by_block(block: np.ndarray, place: np.ndarray) -> Iterator[tuple]:
     order = np.lexsort((place, block))
     block, place = block[order], place[order]
@@ -249,16 +266,18 @@ def _dealt_by_block(block: np.ndarray, place: np.ndarray) -> Iterator[tuple]:
 
 
 def _rounds(blocks: DataFrame, pick, schema: pa.Schema, suffixes: int, passes: int, earliest_stays: bool, label: str) -> DataFrame:
-    """(block, places) of equals among what ``pick`` gives, one group of buckets after the other."""
+    """(block, bits) of equals among what ``pick`` gives, one group of buckets after the other."""
     total = max(passes, -(-suffixes // BUCKET), 64)
     told = None
     columns = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'binary'}" for f in schema)
     for k in range(passes):
         emit = _emitter(pick, total, total * k // passes, total * (k + 1) // passes, schema)
         dealt = arrow_map(blocks, emit, columns).repartition("bucket").sortWithinPartitions("bucket")
-        part = materialize(arrow_map(dealt, _reducer(earliest_stays), "block long, places binary"), label)
+        places = arrow_map(dealt, _reducer(earliest_stays), "block long, places binary")
+        bits = arrow_map(places.repartition("block").sortWithinPartitions("block"), _as_bits, "block long, bits binary")
+        part = materialize(bits, label)
         told = part if told is None else told.unionByName(part)
-    return told.groupBy("block").agg(F.collect_list("places").alias("places"))  # of one block: bounded by its bytes
+    return told.groupBy("block").agg(F.collect_list("bits").alias("bits"))  # of one block, one from each pass
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, with_text: bool = True) -> DataFrame:
@@ -281,16 +300,17 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 arrays = arrays if with_text else arrays[:-1]
                 yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0].strip("`") for c in columns.split(", ")])
 
-    joined = vouched.withColumnRenamed("places", "vouchers").join(doubles, "block", "left")
-    return arrow_map(joined.select("block", "ids", "sizes", "data", "places", "vouchers"), finish, columns)
+    joined = vouched.withColumnRenamed("bits", "vouchers").join(doubles, "block", "left")
+    return arrow_map(joined.select("block", "ids", "sizes", "data", "bits", "vouchers"), finish, columns)
 
 
 def _removed(row: dict) -> tuple[list, list, list, list, list]:
     edges, sizes = _texts(row["sizes"])
     mark = np.zeros(len(row["data"]) + 1, np.int32)
-    found = [np.frombuffer(x, "<u4").astype(np.int64) for x in row["places"] or ()]
+    found = [_places(row["bits"])]
     if row["vouchers"]:
-        found.append(_suffixes(row | {"places": row["vouchers"]})[3])  # repeats within the block
+        place = _vouched(row, row["vouchers"])  # repeats within the block
+        found.append(place[~_firsts(place, string_hashes(np.frombuffer(row["data"], np.uint8), place, LENGTH, _BASES[0]))])
     for at in found:
         np.add.at(mark, at, 1)
         np.add.at(mark, at + LENGTH, -1)
