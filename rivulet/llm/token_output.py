@@ -26,6 +26,7 @@ from __future__ import annotations
 import json
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -57,7 +58,7 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.cores: dict[str, list[int]] = {}  # words without their closing marks, in lower case
+        self.cores: dict[str, bytes] = {}  # words without their closing marks, in lower case
         self.pool = np.zeros(0, np.int32)
         self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -81,30 +82,28 @@ class WordEncoder:
         known = self.known
         new = [w for w in words if w not in known]
         if new:
-            ids: list[int] = []
-            sizes = []
-            tails: dict[str, list[int]] = {}
+            parts: list[bytes] = []
+            tails: dict[str, bytes] = {}
             encode = self.tokenizer.encode
             for word in new:
                 core = word.rstrip(".,;:!?")
                 found = self._simple(core)
                 if found is None:
-                    found = encode(word, add_special_tokens=False).ids
+                    found = _packed(encode(word, add_special_tokens=False).ids)
                 elif len(core) < len(word):
                     tail = word[len(core) :]
                     if tail not in tails:
-                        tails[tail] = encode(tail, add_special_tokens=False).ids
+                        tails[tail] = _packed(encode(tail, add_special_tokens=False).ids)
                     found = found + tails[tail]
-                ids += found
-                sizes.append(len(found))
-            sizes = np.array(sizes, np.int64)
+                parts.append(found)
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
             known.update(zip(new, range(len(self.first), len(self.first) + len(new))))
             self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(sizes) - sizes])
             self.size = np.concatenate([self.size, sizes])
-            self.pool = np.concatenate([self.pool, np.array(ids, np.int32)])
+            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(parts), np.int32)])
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
-    def _simple(self, core: str) -> list[int] | None:
+    def _simple(self, core: str) -> bytes | None:
         """Ids of a word of letters alone, which is one match as it stands; None for any other word."""
         if not core.isalpha() or not unicodedata.is_normalized("NFC", core):
             return None
@@ -112,11 +111,16 @@ class WordEncoder:
         ids = self.cores.get(low)
         if ids is None and low.isalpha():
             shown = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTE_LEVEL)
-            ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
+            ids = _packed([t.id for t in self.tokenizer.model.tokenize(shown)])
             self.cores[low] = ids
         return ids
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Ids as they are kept: an int list would take six times the memory."""
+    return array("i", ids).tobytes()
+
+
 def _byte_level() -> dict[int, int]:
     """Byte-level alphabet: bytes that print in Latin-1 stand for themselves, the others for 256, 257, ... in order."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}

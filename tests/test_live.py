@@ -42,7 +42,7 @@ def stream(spark, tmp_path):
     return run
 
 
-def test_plans_are_shared_in_scope():
+def test_plans_are_shared_in_scope(spark):
     subs = Subscriptions(Catalog(SPEC, PLAIN, HIDDEN))
     q = Select("note", (Eq("v", 1),))
     assert subs.add("c1", q, Viewer("x")) == subs.add("c2", q, Viewer("y"))

@@ -118,7 +118,7 @@ def test_normalized_names_equal_requests():
     assert a.query_hash() != a.query_hash("someone") and a.query_hash() != Select("item").query_hash()
 
 
-def test_explain_names_the_index():
+def test_explain_names_the_index(spark):
     plan = compile_select(Select("item", (Eq("category", "a"), Cmp("price", ">", 1), Eq("flag", True))), ITEM).explain()
     assert plan["access"] == "btree(category, price)" and plan["residual"] == ["flag = TRUE"]
     assert compile_select(Select("item", (Eq("id", 1),)), ITEM).explain()["access"] == "primary key"
