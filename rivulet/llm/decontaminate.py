@@ -16,8 +16,8 @@ Documents longer than a shard are cut with 12 words of overlap, so a shard's mem
 with one block.
 
 Defined cases: null texts have no words (n_words 0, not contaminated); items without words are never found; equal
-item_ids count once; equal document rows stay separate rows; an empty table on either side gives rows without hits or no rows; other columns are carried in a
-struct and never clash.
+item_ids count once; equal document rows stay separate rows; an empty table on either side gives rows without hits or no rows; other columns are
+carried in a struct and never clash.
 """
 
 from __future__ import annotations
@@ -31,11 +31,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.llm.byte_bpe import spans
 from rivulet.llm.common import arrow_map, materialize
 
 WINDOW = 13
 SHARD, SAMPLE = 1 << 20, 8
-BLOCK_BYTES = 32 << 20
+#: Item text of one block; its windows take up to some 50 times as much, held by the driver and once by each worker.
+BLOCK_BYTES = 2 << 20
 #: Bytes of words: digits, small letters and all bytes of characters beyond ASCII.
 _IS_WORD = np.zeros(256, np.bool_)
 _IS_WORD[0x30:0x3A] = _IS_WORD[0x61:0x7B] = _IS_WORD[0x80:] = True
@@ -85,18 +87,16 @@ class Phrases:
         edges = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         words, at = word_hashes(np.frombuffer(b"".join(texts), np.uint8), edges)
         self.words = np.unique(words)  # word k + 1 of a phrase is words[k]; 0 is no word
-        numbers = np.searchsorted(self.words, words) + 1
-        rows, owner = [], []
-        for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
-            for w in range(a, max(a + 1, b - WINDOW + 1)) if b > a else ():
-                row = np.zeros(WINDOW, np.int64)
-                row[: min(b, w + WINDOW) - w] = numbers[w : min(b, w + WINDOW)]
-                rows.append(row)
-                owner.append(k)
-        self.rows, phrase = np.unique(np.array(rows).reshape(-1, WINDOW), axis=0, return_inverse=True) if rows else (np.zeros((0, WINDOW), np.int64), np.zeros(0, np.int64))
+        numbers = np.concatenate([np.searchsorted(self.words, words) + 1, np.zeros(WINDOW, np.int64)])
+        n = np.diff(at)
+        windows = np.where(n > 0, np.maximum(n - WINDOW + 1, 1), 0)
+        owner = np.repeat(np.arange(len(n)), windows)
+        column = np.arange(WINDOW)
+        rows = np.where(column < n[owner][:, None], numbers[spans(at[:-1], windows)[:, None] + column], 0)
+        self.rows, phrase = np.unique(rows, axis=0, return_inverse=True)
         self.sizes = (self.rows > 0).sum(axis=1)
         order = np.argsort(phrase.ravel(), kind="stable")
-        self.owners = np.array(owner, np.int64)[order] if owner else np.zeros(0, np.int64)
+        self.owners = owner[order]
         self.owner_at = np.searchsorted(phrase.ravel()[order], np.arange(len(self.rows) + 1))
         self.item_ids = [i for i, _ in items]
 
@@ -258,8 +258,8 @@ def _judge(batch: pa.RecordBatch, phrases: Phrases) -> tuple[np.ndarray, list[by
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
     words, at = word_hashes(data, edges - edges[0])
     n_words = np.diff(at)
-    spans: list[bytes] = [b""] * len(texts)
-    items: list[list[str]] = [[]] * len(texts)
+    found: list[bytes] = [b""] * len(texts)
+    items: list[set[str]] = [set() for _ in range(len(texts))]
     starts, numbers = [], []
     for a in range(0, len(words), SHARD - WINDOW + 1):
         b = min(len(words), a + SHARD)
@@ -270,7 +270,7 @@ def _judge(batch: pa.RecordBatch, phrases: Phrases) -> tuple[np.ndarray, list[by
         if b == len(words):
             break
     if not starts or not sum(map(len, starts)):
-        return n_words, spans, items
+        return n_words, found, [[]] * len(texts)
     start, number = np.concatenate(starts), np.concatenate(numbers)
     text = np.searchsorted(at, start, side="right") - 1
     pair = np.unique(text * np.int64(len(phrases.rows)) + number)  # phrases of a text, once each
@@ -282,11 +282,11 @@ def _judge(batch: pa.RecordBatch, phrases: Phrases) -> tuple[np.ndarray, list[by
         own = hit[at[t] : at[t + 1] + 2].copy()
         own[0] = own[-1] = False
         edge = np.flatnonzero(own[1:] != own[:-1])
-        spans[t] = edge.astype("<i8").tobytes()
+        found[t] = edge.astype("<i8").tobytes()
     owner_text, owner_phrase = pair // len(phrases.rows), pair % len(phrases.rows)
     for t, p in zip(owner_text.tolist(), owner_phrase.tolist()):
-        items[t] = items[t] + [phrases.item_ids[o] for o in phrases.owners[phrases.owner_at[p] : phrases.owner_at[p + 1]].tolist()]
-    return n_words, spans, [sorted(set(x)) for x in items]
+        items[t].update(phrases.item_ids[o] for o in phrases.owners[phrases.owner_at[p] : phrases.owner_at[p + 1]].tolist())
+    return n_words, found, [sorted(x) for x in items]
 
 
 def _digest(spans: list[bytes], items: list[list[str]], n_words: np.ndarray) -> list[pa.Array]:
@@ -316,14 +316,14 @@ _NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
 
 def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
     """Items in blocks of bounded bytes, streamed through the driver; one item's text is the least a block can hold."""
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).where("t is not null")
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).where("t is not null").withColumn("n", F.octet_length("t"))
     block, size = [], 0
     for row in items.toLocalIterator():
-        if block and size + len(row["t"]) > block_bytes:
+        if block and size + row["n"] > block_bytes:
             yield block
             block, size = [], 0
         block.append((row["i"], row["t"]))
-        size += len(row["t"])
+        size += row["n"]
     yield block
 
 
