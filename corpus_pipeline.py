@@ -25,8 +25,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = jaccard_join.jaccard_classes(docs)
-    return docs.select(COLUMNS).join(classes.where("doc_id = class_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    kept = jaccard_join.jaccard_classes(docs).where("doc_id <=> class_id").select("class_id").distinct()
+    return docs.select(COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("class_id")), "left_semi")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
