@@ -300,6 +300,13 @@ def fts_postings(spark, d):
     return post.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos"))
 
 
+@query(f"WITH {_WORDS} SELECT doc_id, term, count(*) AS tf, min(pos) AS first_pos FROM words GROUP BY ALL")
+def fts_postings_full(spark, d):
+    """The postings of every term; ``fts_postings`` shows those of one prefix."""
+    post = FT.postings(Tables(spark, d).documents, "doc_id", "text", SIMPLE)
+    return post.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos"))
+
+
 @query(
     f"""WITH {_WORDS}, dl AS (SELECT d.doc_id, count(w.term) AS dl FROM documents d LEFT JOIN words w USING (doc_id) GROUP BY 1)
         SELECT count(*) AS n_docs, round(avg(dl), 6) AS avg_len, (SELECT count(DISTINCT doc_id) FROM words WHERE term = 'the') AS df_the FROM dl"""

@@ -61,3 +61,17 @@ def test_rate_limit_is_a_token_bucket(spark):
             assert admitted == (tokens >= 1)
             tokens -= admitted
     assert not all(r["admitted"] for r in rows)
+
+
+def test_full_postings_hold_every_term(spark):
+    import re
+
+    want = set()
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        at = {}
+        for pos, word in enumerate(re.findall(r"[^\W_]+", r["text"] or "")):
+            at.setdefault(word.lower(), []).append(pos)
+        want |= {(r["doc_id"], term, len(p), p[0]) for term, p in at.items()}
+    got = {tuple(r) for r in catalogue.QUERIES["fts_postings_full"](spark, SF).collect()}
+    assert got == want
+    assert {t[:1] for _, t, _, _ in got} > {"t"}
