@@ -58,3 +58,20 @@ def test_encoded(stages):
 def test_run_is_the_stages_in_a_row(spark, stages):
     got = corpus_pipeline.run(spark, SF)
     assert sorted(map(repr, (r.asDict() for r in got.collect()))) == sorted(map(repr, stages[-1]))
+
+
+@pytest.mark.parametrize("letters", [200, 2000, 20000])
+def test_language_rejects_noise_and_keeps_short_texts(spark, letters):
+    import base64
+    import random
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(corpus_pipeline.COLUMNS)
+    draw = random.Random(letters)
+    noise = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=letters)), "".join(draw.choices("abcdefghijklmnopqrstuvwxyz     ", k=letters)), base64.b64encode(draw.randbytes(letters)).decode()]
+    words = next(r["text"] for r in docs.where("lang = 'en' and n_chars > 400").orderBy("doc_id").collect()).split()
+    clean = [" ".join(words[:n]) for n in (1, 2, 5, 10, 20, 40)]
+    clean += ["Xylyl qwz", "Zyzzyva"]  # too short to judge
+    rows = [(-1 - k, t) for k, t in enumerate(noise + clean)]
+    more = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in rows], docs.schema)
+    got = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs.unionByName(more), SF).select("doc_id").collect()}
+    assert {i for i, _ in rows} & got == {i for i, _ in rows[len(noise) :]}
