@@ -4,7 +4,7 @@ A document's set holds its runs of five consecutive white-space words (a text of
 64-bit hashes. Documents with equal sets form a class; only one member of each goes on. Steps:
 
 1. Signatures: ``HASHES`` MinHash values for each set, and ``BANDS`` band keys, each of ``ROWS`` values. A pair at the
-   threshold 0.8 misses all bands with a chance of (1 - 0.8^4)^24 < 10^-6.
+   threshold 0.8 misses all bands with a chance of (1 - 0.8^4)^28 = 4 x 10^-7.
 2. Candidates: members of one band bucket. Of buckets with the same members in several bands only the first band's is
    kept, so copies in pairs meet once. A bucket of more than ``BLOCK`` members is cut into blocks, and every pair of
    blocks becomes a group of its own: no group exceeds 2 x ``BLOCK`` members, and no pair is ever left out.
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from rivulet.llm.common import arrow_map, materialize, sorted_groups, words_of
 
 WORDS, THRESHOLD = 5, 0.8
-ROWS, BANDS = 4, 24
+ROWS, BANDS = 4, 28
 HASHES = ROWS * BANDS
 STEP, TOLERANCE = 16, 1e-7
 BLOCK = 512

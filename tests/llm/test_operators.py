@@ -156,6 +156,11 @@ def test_pruning_keeps_pairs_at_the_threshold():
     assert lost == 0 and least[jaccard_join.HASHES] > 40
 
 
+def test_bands_miss_few_pairs_at_the_threshold():
+    assert (1 - jaccard_join.THRESHOLD**jaccard_join.ROWS) ** jaccard_join.BANDS < 1e-6
+    assert jaccard_join.HASHES % jaccard_join.STEP == 0  # pruning compares whole steps
+
+
 def test_token_output(spark, docs, tmp_path):
     from tokenizers import Tokenizer
 
