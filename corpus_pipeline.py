@@ -30,8 +30,14 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = jaccard_join.jaccard_classes(docs).where("doc_id <=> class_id").select("class_id").distinct()
-    return docs.select(COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("class_id")), "left_semi")
+    """One document of each class stays: that of the least id, nulls last; among rows of equal ids any one of them.
+
+    Classes are found over a key of the rows, written with them, so null and repeated ids are documents like others."""
+    keyed = materialize(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()), "pipeline-keys")
+    classes = jaccard_join.jaccard_classes(keyed, id_col="row").select("row", "class_id")
+    ranked = keyed.select("row", "doc_id").join(classes, "row").withColumn("rank", F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    kept = ranked.groupBy("class_id").agg(F.min("rank").alias("rank")).select("rank.row")
+    return keyed.join(kept, "row", "left_semi").select(COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,3 +75,12 @@ def test_language_rejects_noise_and_keeps_short_texts(spark, letters):
     more = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in rows], docs.schema)
     got = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs.unionByName(more), SF).select("doc_id").collect()}
     assert {i for i, _ in rows} & got == {i for i, _ in rows[len(noise) :]}
+
+
+def test_near_keeps_one_of_each_class_whatever_the_ids(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").select(corpus_pipeline.COLUMNS).schema
+    groups = {g: [" ".join(f"{g}{n}" for n in range(100)) + f" {g}-{k}" for k in range(3)] for g in "abcde"}
+    ids_of = {"a": [None, None, None], "b": [None, 5, 9], "c": [1, 1, 2], "d": [1, 7, 8], "e": [6, None, 1]}  # a: null ids alone; c and d: ids repeated within and over classes
+    rows = [(i, t, None, None, len(t)) for g in groups for i, t in zip(ids_of[g], groups[g])]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, schema), SF).collect()
+    assert sorted((r["text"][0], repr(r["doc_id"])) for r in kept) == [("a", "None"), ("b", "5"), ("c", "1"), ("d", "1"), ("e", "1")]
