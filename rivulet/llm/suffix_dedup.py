@@ -188,7 +188,7 @@ def _pick_suffixes(row: dict, choose):
     hashes = string_hashes(data, place, LENGTH, _BASES[0])
     bucket, here = choose(hashes)
     place, hashes, bucket = place[here], hashes[here], bucket[here]
-    first = _firsts(place, hashes)
+    first = _firsts(place, hashes, data)
     place, hashes, bucket = place[first], hashes[first], bucket[first]
     check = (string_hashes(data, place, LENGTH, _BASES[1]) >> np.uint64(32)).astype(np.uint32)
     return bucket, [hashes, place.astype("<u4"), check]
@@ -204,15 +204,18 @@ def _vouched(row: dict, sampled: list[bytes] | None) -> np.ndarray:
     return np.flatnonzero((np.cumsum(mark)[:-1] > 0) & _starts(edges, LENGTH))
 
 
-def _firsts(place: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Which of the positions are the first with their hash."""
-    if not len(place):
-        return np.zeros(0, bool)
+def _firsts(place: np.ndarray, hashes: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Which of the ascending positions are the first with their string; strings are equal if both hashes are."""
     order = np.argsort(hashes)
-    ordered = hashes[order]
-    start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    out = np.zeros(len(place), bool)
-    out[np.minimum.reduceat(order, start)] = True  # positions ascend, so the least index is the first of a group
+    same = hashes[order][1:] == hashes[order][:-1]
+    out = np.ones(len(place), bool)
+    out[order[1:][same]] = out[order[:-1][same]] = False
+    again = np.flatnonzero(~out)
+    check = string_hashes(data, place[again], LENGTH, _BASES[1])
+    order = np.lexsort((check, hashes[again]))  # stable, so the first of a group is the earliest
+    hashes, check = hashes[again][order], check[order]
+    out[again[order[:1]]] = True
+    out[again[order[1:][(hashes[1:] != hashes[:-1]) | (check[1:] != check[:-1])]]] = True
     return out
 
 
@@ -310,7 +313,8 @@ def _removed(row: dict) -> tuple[list, list, list, list, list]:
     found = [_places(row["bits"])]
     if row["vouchers"]:
         place = _vouched(row, row["vouchers"])  # repeats within the block
-        found.append(place[~_firsts(place, string_hashes(np.frombuffer(row["data"], np.uint8), place, LENGTH, _BASES[0]))])
+        data = np.frombuffer(row["data"], np.uint8)
+        found.append(place[~_firsts(place, string_hashes(data, place, LENGTH, _BASES[0]), data)])
     for at in found:
         np.add.at(mark, at, 1)
         np.add.at(mark, at + LENGTH, -1)

@@ -101,6 +101,15 @@ def test_cover_is_perfect():
     assert sorted((a - b) % suffix_dedup.V for a in d for b in d if a != b) == list(range(1, suffix_dedup.V))
 
 
+def test_equal_order_hashes_in_a_block_are_checked(monkeypatch):
+    exact = suffix_dedup.string_hashes
+    monkeypatch.setattr(suffix_dedup, "string_hashes", lambda d, at, size, base: exact(d, at, size, base) & np.uint64(3 if base == suffix_dedup._BASES[0] else 2**64 - 1))
+    text = np.random.default_rng(3).bytes(500)
+    data = text + text[:150]
+    row = {"data": data, "sizes": np.array([len(data)], "<i8").tobytes(), "bits": None, "vouchers": [np.packbits(np.ones(len(data), np.uint8)).tobytes()]}
+    assert suffix_dedup._removed(row)[4] == [text]
+
+
 def brute_classes(pairs):
     def words(t):
         w = (t or "").split()
