@@ -47,7 +47,7 @@ WINDOW = LENGTH - GRAM + 1
 #: Singer's perfect difference set of order 3: every difference modulo 13 but 0 occurs exactly once.
 V, COVER = 13, (0, 1, 3, 9)
 DEPTH = LENGTH - V + 1
-BLOCK_BYTES, BUCKET, TASK_BYTES = 2 << 20, 4 << 20, 16 << 20
+BLOCK_BYTES, BUCKET, TASK_BYTES = 2 << 20, 1 << 20, 16 << 20
 PASSES = 2
 HOT, SALTS = 20_000, 64
 _PIECE = 1 << 16
