@@ -5,8 +5,7 @@ the document). That needs the corpus's suffixes in order as deep as ``LENGTH`` b
 twice. Steps:
 
 1. Blocks: documents are range-partitioned and sorted by id and packed, with their order, into rows of a few megabytes.
-2. Runs: a suffix's anchor is the least hash among the ``WINDOW`` strings of ``GRAM`` bytes within its ``LENGTH`` bytes.
-   Equal suffixes have equal anchors, and neighbours mostly share theirs, so suffixes travel in runs of one anchor (28 on
+2. Runs: a suffix's anchor is the (last) least hash among the ``WINDOW`` strings of ``GRAM`` bytes within its bytes. Equal suffixes have equal anchors, and neighbours mostly share theirs, so suffixes travel in runs of one anchor (28 on
    average, ``WINDOW`` at most) with the bytes of the run, some five bytes a suffix in place of a hundred. Anchors that
    occur once in the corpus are discarded, and their runs never leave their blocks.
 3. Suffix buckets: runs are dealt into buckets of some ``BUCKET`` bytes by anchor, in ``PASSES`` groups of buckets, one
@@ -51,6 +50,7 @@ BLOCK_BYTES, BUCKET, TASK_BYTES = 2 << 20, 1 << 20, 16 << 20
 PASSES = 2
 HOT, SALTS = 20_000, 64
 _PIECE = 1 << 16
+_LOW = np.uint64((1 << 17) - 1)  # holds any place in a piece
 _BASE = 0x9E6C63D0876A9A47  # odd
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,11 +73,15 @@ def _hashes(piece: np.ndarray, size: int, bits: int) -> np.ndarray:
     sums = np.empty(len(piece) + 1, np.uint64)
     sums[0] = 0
     np.cumsum((piece + np.uint64(1)) * power[: len(piece)], out=sums[1:])
-    x = (sums[size:] - sums[:n]) * inverse[:n]
+    x = _mixed((sums[size:] - sums[:n]) * inverse[:n])
+    return x if bits == 64 else x << np.uint64(64 - bits)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A permutation of the 64-bit numbers that spreads any others over all of them."""
     x = (x ^ (x >> np.uint64(31))) * _M1
     x = (x ^ (x >> np.uint64(29))) * _M2
-    x ^= x >> np.uint64(32)
-    return x if bits == 64 else x << np.uint64(64 - bits)
+    return x ^ (x >> np.uint64(32))
 
 
 def _least(x: np.ndarray, size: int) -> np.ndarray:
@@ -137,14 +141,19 @@ def _starts(edges: np.ndarray) -> np.ndarray:
 
 
 def _runs(data: np.ndarray, edges: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First suffix, number of suffixes and anchor of each run of a block, in order; piece by piece."""
+    """First suffix, number of suffixes and anchor of each run of a block, in order; piece by piece.
+
+    Of equal least hashes the last place is the anchor, so suffixes of one run have one anchor at different distances and
+    are never equal: an anchor that occurs once has no repeats, in periodic bytes either.
+    """
     inside = _starts(edges)
     out = []
     for a in range(0, len(data), _PIECE):
         piece = data[a : a + _PIECE + LENGTH - 1]
         if len(piece) < LENGTH:
             break
-        least = _least(_hashes(piece, GRAM, bits), WINDOW)
+        own = _hashes(piece, GRAM, bits)
+        least = _least((own & ~_LOW) | (_LOW - np.arange(len(own), dtype=np.uint64)), WINDOW)
         valid = inside[a : a + len(least)]
         turn = np.ones(len(least) + 1, bool)
         turn[1:-1] = (least[1:] != least[:-1]) | (valid[1:] != valid[:-1])
@@ -152,11 +161,7 @@ def _runs(data: np.ndarray, edges: np.ndarray, bits: int) -> tuple[np.ndarray, n
         place, size = turn[:-1], np.diff(turn)
         keep = valid[place]
         place, size = place[keep], size[keep]
-        value = least[place]
-        if len(size) and size.max() > WINDOW:  # one anchor again and again: periodic bytes
-            n = -(-size // WINDOW)
-            step = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * WINDOW
-            place, value, size = np.repeat(place, n) + step, np.repeat(value, n), np.minimum(np.repeat(size, n) - step, WINDOW)
+        value = _mixed(own[(_LOW - (least[place] & _LOW)).astype(np.int64)])  # minima are small: all would fall into the first buckets
         out.append((place + a, size, value))
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
 

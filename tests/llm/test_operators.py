@@ -117,6 +117,13 @@ def test_suffix_sort_against_bytes(letters):
     assert suffix_dedup.repeats(text, first, size).tolist() == want
 
 
+def test_repeats_within_one_run_of_suffixes(spark):
+    texts = [("%d" % p + "abcdefghijklmnopqrstuvwxyz"[:p]) * (130 // p) + "tail %d" % p for p in range(1, 27)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = suffix_dedup.dedup_substrings(df)
+    assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_substrings(list(enumerate(texts)))
+
+
 def test_suffix_dedup_spreads_rows_of_one_id(spark):
     df = spark.createDataFrame([(None, "%03d " % k * 40) for k in range(400)], "doc_id long, text string").repartition(8)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
