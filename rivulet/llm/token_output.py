@@ -14,8 +14,9 @@ Where each document starts in the whole sequence is a prefix sum in two levels:
 task), then rows within a part, both over the metadata columns alone.
 
 Words are encoded once for each worker as far as ``CACHE`` reaches: in this tokenizer family white space only ends a
-match and is dropped, so ids of a text are the ids of its white-space words in a row. (A tokenizer without that
-property is detected when it is loaded, and its texts are then encoded whole.)
+match and is dropped, so ids of a text are the ids of its white-space words in a row. Words of Latin letters are looked up
+in lower case and without the marks that close them. (A tokenizer without that property is detected when it is loaded, and
+its texts are then encoded whole.)
 
 Defined cases: null text counts as empty; a null id sorts first; rows with equal ids keep some order, the one of the
 files; an empty table gives an empty table; other columns are not read.
@@ -24,7 +25,6 @@ files; an empty table gives an empty table; other columns are not read.
 from __future__ import annotations
 
 import json
-import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -42,6 +42,10 @@ from rivulet.llm.common import arrow_map, write_once
 
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
 CACHE = 600_000
+#: Plain words: letters that are their own NFC form and have one letter for lower case (so not U+0130), which the tokenizer
+#: takes as one match; with closing marks behind them, which are a match of their own.
+_PLAIN = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{17F}]+$"
+_MARKS = ".,;:!?"
 
 
 class WordEncoder:
@@ -57,10 +61,9 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.cores: dict[str, bytes] = {}  # words without their closing marks, in lower case
+        self.known: dict[str, int] = {}  # odd words as they stand, and plain ones without closing marks in lower case
         self.pool = np.zeros(0, np.int32)
-        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.first, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)  # slot 0 is empty
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's begin (one more than texts)."""
@@ -73,52 +76,43 @@ class WordEncoder:
         lists = pc.ascii_split_whitespace(texts)
         at = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
-        slots = self._slots(coded.dictionary.to_pylist())
-        used = slots[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
-        n = self.size[used]
-        return self.pool[spans(self.first[used], n)], np.concatenate([[0], np.cumsum(n)])[at - at[0]]
-
-    def _slots(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        new = [w for w in words if w not in known]
-        if new:
-            parts: list[bytes] = []
-            tails: dict[str, bytes] = {}
-            encode = self.tokenizer.encode
-            for word in new:
-                core = word.rstrip(".,;:!?")
-                found = self._simple(core)
-                if found is None:
-                    found = _packed(encode(word, add_special_tokens=False).ids)
-                elif len(core) < len(word):
-                    tail = word[len(core) :]
-                    if tail not in tails:
-                        tails[tail] = _packed(encode(tail, add_special_tokens=False).ids)
-                    found = found + tails[tail]
-                parts.append(found)
-            sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-            known.update(zip(new, range(len(self.first), len(self.first) + len(new))))
+        slots = self._slots(coded.dictionary)
+        n = self.size[slots].sum(axis=1)
+        index = coded.indices.to_numpy(zero_copy_only=False) if len(coded) else np.zeros(0, np.int64)
+        ends = np.concatenate([[0], np.cumsum(n[index])])[at - at[0]]
+        used = slots[index].ravel()
+        used = used[used > 0]
+        return self.pool[spans(self.first[used], self.size[used])], ends
+
+    def _slots(self, words: pa.Array) -> np.ndarray:
+        """Two slots for each word: its letters and its closing marks; of an odd word all of it and nothing."""
+        cores = pc.ascii_rtrim(words, characters=_MARKS)
+        plain = pc.match_substring_regex(cores, _PLAIN)
+        low = pc.utf8_lower(cores.filter(plain)).dictionary_encode()
+        out = np.zeros((len(words), 2), np.int64)
+        plain = plain.to_numpy(zero_copy_only=False)
+        marked = plain & (pc.binary_length(words).to_numpy(zero_copy_only=False) > pc.binary_length(cores).to_numpy(zero_copy_only=False))
+        tails = pc.replace_substring_regex(words.filter(pa.array(marked)), f"^.*[^{_MARKS}]", "").dictionary_encode()
+        odd = words.filter(pa.array(~plain)).to_pylist()
+        names, ends = low.dictionary.to_pylist(), tails.dictionary.to_pylist()
+
+        known, encode, model = self.known, self.tokenizer.encode, self.tokenizer.model.tokenize
+        letters = [w for w in names if w not in known]
+        others = list(dict.fromkeys(w for w in odd + ends if w not in known))
+        shown = (w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LEVEL) for w in letters)
+        parts = [array("i", [t.id for t in model(w)]) for w in shown]
+        parts += [array("i", encode(w, add_special_tokens=False).ids) for w in others]
+        if parts:
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            known.update(zip(letters + others, range(len(self.first), len(self.first) + len(parts))))
             self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(sizes) - sizes])
             self.size = np.concatenate([self.size, sizes])
             self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(parts), np.int32)])
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-
-    def _simple(self, core: str) -> bytes | None:
-        """Ids of a word of letters alone, which is one match as it stands; None for any other word."""
-        if not core.isalpha() or not unicodedata.is_normalized("NFC", core):
-            return None
-        low = core.lower() if core.isascii() else "".join(map(str.lower, core))
-        ids = self.cores.get(low)
-        if ids is None and low.isalpha():
-            shown = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTE_LEVEL)
-            ids = _packed([t.id for t in self.tokenizer.model.tokenize(shown)])
-            self.cores[low] = ids
-        return ids
-
-
-def _packed(ids: list[int]) -> bytes:
-    """Ids as they are kept: an int list would take six times the memory."""
-    return array("i", ids).tobytes()
+        of = lambda strings: np.fromiter(map(known.__getitem__, strings), np.int64, len(strings))
+        out[plain, 0] = of(names)[low.indices.to_numpy(zero_copy_only=False)] if names else 0
+        out[marked, 1] = of(ends)[tails.indices.to_numpy(zero_copy_only=False)] if ends else 0
+        out[~plain, 0] = of(odd)
+        return out
 
 
 def _byte_level() -> dict[int, int]:
