@@ -1,6 +1,7 @@
 """Byte-level BPE encoding and decoding by ranks, on length-bucketed padded numpy matrices.
 
-Texts are cut into matches of a pattern, each encoded separately. The distinct matches of a batch go into matrices of
+Texts are cut into matches of a pattern, each encoded separately; for the pattern of word pieces, letters, numbers and
+spaces are what tiktoken's own tables say, whatever Unicode version ``regex`` has. The distinct matches of a batch go into matrices of
 token ids, one matrix for lengths up to 4, 8, 16, ... 256 bytes. In each round every row merges its leftmost pair of
 least rank; only the two pairs beside a merge are looked up again, in an open-addressing hash table of all pairs whose
 concatenation is a token; finished rows leave the matrix (compaction). Matches above 256 bytes, where a matrix would be
@@ -18,7 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,6 +38,10 @@ CACHE = 500_000
 #: and starts a match of its own, whatever the words are.
 _SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _UNSAFE = f"{_SPACE} | {_SPACE}|^ | $"
+#: The pattern (a fixed value) for which words between single spaces can be cut by themselves; texts are cut whole by any other.
+_BY_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A letter, a number, a space and a mark on which all Unicode versions agree.
+_LIKE = "\u2135\u00b2\u2003\u2020"
 
 
 def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -45,6 +50,35 @@ def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)
 
 
+@lru_cache(maxsize=1)
+def strange_characters() -> dict[int, str]:
+    """Characters that ``regex`` or ``str.isalpha`` class otherwise than tiktoken's own tables do -> one that all class so.
+
+    Unicode versions differ between the libraries. tiktoken's classes are read off by encoding all characters with patterns
+    that match one class: what a pattern does not match gives no ids."""
+    import tiktoken
+
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    single = {bytes([b]): b for b in range(256)}
+    classes = (r"\p{L}", r"\p{N}", r"\s")
+    theirs = [set(bytes(tiktoken.Encoding("class", pat_str=c, mergeable_ranks=single, special_tokens={}).encode_ordinary(every)).decode()) for c in classes]
+    differ = {c for c in every if c.isalpha()} ^ theirs[0]
+    for c, own in zip(classes, theirs):
+        differ |= set(regex.findall(c, every)) ^ own
+    return {ord(c): next((like for like, own in zip(_LIKE, theirs) if c in own), _LIKE[-1]) for c in differ}
+
+
+def _one_of(characters: Iterable[int]) -> str:
+    """A character class of the code points, as ranges."""
+    ranges: list[list[int]] = []
+    for c in sorted(characters):
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]" if ranges else r"[^\x{0}-\x{10ffff}]"
+
+
 class PairTable:
     """(left id, right id) -> id of the merged token, whose rank it also is."""
 
@@ -96,6 +130,11 @@ class ByteBpe:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.pattern = regex.compile(pattern)
+        self.by_words = pattern == _BY_WORDS
+        self.like = strange_characters() if self.by_words else {}
+        strange = _one_of(self.like)
+        self.unsafe = f"{_UNSAFE}|{strange}" if self.by_words else ""  # "" is found in any text
+        self.strange = frozenset(map(chr, self.like))
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.pairs = PairTable(self.tokens)
         sizes = np.array([len(t or b"") for t in self.tokens], np.int64)
@@ -192,7 +231,7 @@ class ByteBpe:
             self._forget()
         texts = pc.fill_null(texts, "")
         # Words between single spaces are looked up as wholes; texts with other uses of spaces are cut by the pattern.
-        plain = pc.invert(pc.match_substring_regex(texts, _UNSAFE))
+        plain = pc.invert(pc.match_substring_regex(texts, self.unsafe))
         lists = pc.split_pattern(texts, " ")
         start = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.values.slice(start[0], start[-1] - start[0]).dictionary_encode()
@@ -216,7 +255,7 @@ class ByteBpe:
                 first = names[index[a]] if b > a else ""
                 order.append(np.concatenate([[-1 - odd.setdefault(first, len(odd))], slot_of[index[a + 1 : b]]]))
             else:
-                found = self.pattern.findall(strings[d])
+                found = self._cut(strings[d])
                 order.append(np.array([-1 - odd.setdefault(x, len(odd)) for x in found], np.int64))
         slots = self._slots(units + list(odd))
         used = np.concatenate(order) if order else np.zeros(0, np.int64)
@@ -226,6 +265,12 @@ class ByteBpe:
         of_text = np.concatenate([[0], np.cumsum([len(x) for x in order])]).astype(np.int64)
         return self.pool[spans(self.first[used], n)], ends[of_text]
 
+    def _cut(self, text: str) -> list[str]:
+        """Matches of the pattern, with letters, numbers and spaces as tiktoken classes them."""
+        if text.isascii() or self.strange.isdisjoint(text):
+            return self.pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.like))]
+
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.pool = np.zeros(0, np.uint32)
@@ -240,11 +285,11 @@ class ByteBpe:
             parts: list[int] = []
             counts = []
             for u in new:
-                if u[1:].isalpha() and (u[0] == " " or u[0].isalpha()):
+                if not self.by_words or (u[1:].isalpha() and (u[0] == " " or u[0].isalpha()) and (u.isascii() or self.strange.isdisjoint(u))):
                     parts.append(match.setdefault(u, len(match)))  # a space and letters are one match
                     counts.append(1)
                 else:
-                    found = self.pattern.findall(u)
+                    found = self._cut(u)
                     parts += [match.setdefault(m, len(match)) for m in found]
                     counts.append(len(found))
             flat, start, size = self.merge([m.encode() for m in match])
