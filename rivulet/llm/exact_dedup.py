@@ -4,8 +4,9 @@ Texts are range-partitioned by sampled splitters on (first bytes, hash, salt) an
 (first bytes, hash, salt, whole text, id). Equal texts are then neighbours, and the window operator, which compares
 each row's whole text with its neighbour's to find where a group ends, gives every group its id to keep and size.
 
-A text that occurs more than ``hot_rows`` times is dealt over several salts; the heads of its runs, one row for each
-salt, are compared (whole texts again) in a second, small sort.
+A text whose copies are more than ``hot_rows`` or ``HOT_BYTES`` together is dealt row by row over several salts. The heads of
+its runs, one row for each salt, are compared (whole texts again) in a second, small aggregation, which chooses the run
+whose first row stays. A run grows with the root of the number of copies at most, and so does the number of runs.
 
 Defined cases: a null text counts as the empty text; a null id sorts below every other id when the largest is kept and
 above when the smallest is; among fully equal rows exactly one is kept; an empty table gives an empty table; other
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from rivulet.llm.common import materialize
 
-#: Rows of one text in one sorted run; texts that occur more often are salted.
-HOT_ROWS = 20_000
+#: Rows and bytes of one text in one sorted run; texts that have more are salted.
+HOT_ROWS, HOT_BYTES = 256, 16 << 20
 #: Bytes of text used, beside its hash, as the range-partitioning key: bounds what the splitter sample holds.
 PREFIX = 24
 
@@ -43,15 +44,17 @@ def exact_groups(
     text = normalise(text) if normalise else text
     rest = [F.col(c) for c in docs.columns if normalise or c != text_col]
     row = F.struct(F.col(text_col).isNull().alias("no_text"), F.struct(*rest).alias("rest")) if carry else F.lit(None).cast("int")
-    base = docs.select(F.col(id_col).alias("id"), text.alias("t"), row.alias("row"))
+    # The place of a row in the input deals copies out: ids may be null or equal.
+    base = docs.select(F.col(id_col).alias("id"), text.alias("t"), row.alias("row"), F.monotonically_increasing_id().alias("at"))
     base = base.withColumn("h", F.xxhash64("t"))
 
-    hot = base.groupBy("h").count().where(F.col("count") > hot_rows)
-    hot = materialize(hot.select("h", F.ceil(F.col("count") / hot_rows).alias("salts")), "hot-texts")
+    sizes = base.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("t")).alias("bytes"))
+    salts = F.ceil(F.greatest(F.col("n") / F.greatest(F.lit(hot_rows), F.sqrt("n")), F.least(F.col("bytes") / HOT_BYTES, "n")))
+    hot = materialize(sizes.where((F.col("n") > hot_rows) | (F.col("bytes") > HOT_BYTES)).select("h", salts.alias("salts")), "hot-texts")
     salted = base.join(hot, "h", "left").withColumns(
         {
             "p": F.substring(F.encode("t", "utf-8"), 1, PREFIX),
-            "s": F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), "salts")),
+            "s": F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod("at", "salts")),
         }
     )
     order = F.desc_nulls_last("id") if keep == "largest" else F.asc_nulls_last("id")
@@ -73,19 +76,19 @@ def exact_groups(
     runs = runs.withColumn("t", F.when((F.col("n") == 1) if carry else head, F.col("t")))
     runs = materialize(runs, "text-runs")
 
-    same = Window.partitionBy("h", "t")
-    best = F.max("run_id") if keep == "largest" else F.min("run_id")
-    totals = materialize(
-        runs.where(head).select("h", "s", "text_sha256", best.over(same).alias("all_id"), F.sum("run_size").over(same).alias("all_size")),
-        "hot-totals",
-    )
+    heads = runs.where(head).select("h", "s", "t", "text_sha256", "run_id", "run_size")
+    # Nulls last in either order; among equal ids one run.
+    best = F.max(F.struct(F.col("run_id").isNotNull(), "run_id", "s")) if keep == "largest" else F.min(F.struct(F.col("run_id").isNull(), "run_id", "s"))
+    best = heads.groupBy("h", "t").agg(best.alias("best"), F.sum("run_size").alias("all_size"))
+    totals = materialize(heads.join(best, ["h", "t"]).select("h", "s", "text_sha256", "best.run_id", F.col("best.s").alias("best_s"), "all_size"), "hot-totals")
+    totals = totals.withColumnRenamed("run_id", "all_id")
     out = (runs if carry else runs.drop("t")).join(totals, ["h", "s", "text_sha256"], "left")
     keep_id = F.when(F.col("all_size").isNull(), F.col("run_id")).otherwise(F.col("all_id"))
     return out.select(
         F.col("id").alias(id_col),
         keep_id.alias("keep_id"),
         F.coalesce("all_size", "run_size").alias("group_size"),
-        ((F.col("n") == 1) & F.col("run_id").eqNullSafe(keep_id)).alias("kept"),
+        ((F.col("n") == 1) & (F.col("best_s").isNull() | (F.col("best_s") == F.col("s")))).alias("kept"),
         "text_sha256",
         *(["row", "t"] if carry else []),
     )
