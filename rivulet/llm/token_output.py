@@ -141,7 +141,16 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(
+    docs: DataFrame,
+    out: str,
+    tokenizer_path: str,
+    end_id: int | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    row_group: int = ROW_GROUP,
+    page: int = PAGE,
+) -> None:
     """Write (part, row, doc_id, n_tokens, ids) for all documents to ``out`` in ascending id order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +179,8 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int | N
     ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     encoded = arrow_map(ordered, run, f"part int, row long, doc_id {kind}, n_tokens long, ids array<int>")
     options = {
-        "parquet.block.size": str(ROW_GROUP),
-        "parquet.page.size": str(PAGE),
+        "parquet.block.size": str(row_group),
+        "parquet.page.size": str(page),
         "parquet.dictionary.page.size": str(1 << 20),
         "parquet.enable.dictionary": "true",
         "parquet.writer.version": "PARQUET_2_0",

@@ -12,6 +12,8 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import tiktoken
+from pyspark.sql import functions as F
 
 from rivulet.llm import (
     byte_bpe,
@@ -260,6 +262,25 @@ def test_exact_dedup(spark, docs, keep, hot_rows):
     assert exact_dedup.exact_groups(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+def test_exact_dedup_splits_copies_whatever_their_ids(spark, keep):
+    """Copies with one id, null or not, are dealt over many runs, and one of them stays."""
+    copies = spark.range(50_000).select(F.when(F.col("id") % 2 == 0, 7).alias("doc_id"), F.lit("copy").alias("text")).repartition(4)
+    df = copies.unionByName(spark.createDataFrame([(1, "other"), (None, "z" * 2000)], "doc_id long, text string"))
+    got = exact_dedup.exact_groups(df, keep=keep)
+    assert {tuple(r) for r in got.select("keep_id", "group_size").distinct().collect()} == {(7, 50_000), (1, 1), (None, 1)}
+    assert sorted((tuple(r) for r in got.where("kept").select("doc_id", "group_size").collect()), key=repr) == [(1, 1), (7, 50_000), (None, 1)]
+    assert exact_dedup.exact_dedup(df, keep=keep).count() == 3
+
+
+def test_exact_dedup_splits_copies_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_BYTES", 100_000)
+    df = spark.createDataFrame([(k, "long " * 10_000) for k in range(9)] + [(9, "short")], "doc_id long, text string")
+    got = exact_dedup.exact_groups(df)
+    assert rows(got.where("kept"), "doc_id", "group_size") == [(8, 9), (9, 1)]
+    assert exact_dedup.exact_dedup(df).select(F.sum(F.length("text"))).first()[0] == 50_005
+
+
 def test_token_counts(spark, docs):
     import sentencepiece
 
@@ -511,3 +532,58 @@ def test_word_encoder_knows_its_family():
     assert not other.by_word
     ids, at = other.encode(pa.array(["a  b", None]))
     assert ids[: at[1]].tolist() == other.tokenizer.encode("a  b", add_special_tokens=False).ids and at[1] == at[2]
+
+
+def test_byte_bpe_classes_characters_as_the_library_does():
+    """All characters on whose class Unicode versions differ, and the common scripts, beside what the pattern looks at."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    bpe = byte_bpe._bpe(path, public_tokenizers.PATTERN)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    shapes = ("x{0}'s", "ab{0}cd", " {0}.", "a {0} {0}b  {0}")
+    texts = [f.format(chr(c)) for c in sorted({*range(1, 0x3200), *byte_bpe.strange_characters()}) for f in shapes]
+    for k in range(0, len(texts), 20_000):
+        ids, at = bpe.encode_batch(pa.array(texts[k : k + 20_000]))
+        for j, text in enumerate(texts[k : k + 20_000]):
+            assert ids[at[j] : at[j + 1]].tolist() == theirs.encode_ordinary(text), repr(text)
+
+
+@pytest.mark.parametrize("pattern", [r"\w+|\W", r"\p{L}|[^\p{L}]+", r"\S+"])
+def test_byte_bpe_cuts_by_the_pattern_given(pattern):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    theirs = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = ["hello world, don't", "  two  spaces 12,3 ", "", "éà x\ty"]
+    ids, at = byte_bpe.ByteBpe(ranks, pattern).encode_batch(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [theirs.encode_ordinary(t) for t in texts]
+
+
+def test_token_output_shortcuts_agree_with_the_library():
+    encoder = token_output.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [f.format(chr(c)) for c in range(1, 0x32000) if not 0xD800 <= c < 0xE000 for f in ("x{0}y", "{0}.", "'s{0}t É{0}É")]
+    rng = random.Random(5)
+    texts += ["".join(rng.choice("aZé'sS.,! 1İſŉ\u0301\u00a0\u200b日ß") for _ in range(rng.randint(1, 30))) for _ in range(5000)]
+    for k in range(0, len(texts), 100_000):
+        part = texts[k : k + 100_000]
+        ids, at = encoder.encode(pa.array(part))
+        for j, e in enumerate(encoder.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+            assert ids[at[j] : at[j + 1]].tolist() == e.ids, repr(part[j])
+
+
+def test_token_files_can_be_read_in_parts(spark, tmp_path):
+    """A range of documents touches few row groups, and metadata are columns of their own with page indexes."""
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "tokens")
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("word "), F.col("id").cast("string"), F.lit(" ")), 40).alias("text"))
+    token_output.write_tokens(df, path, public_tokenizers.path("word_bpe_49k.json"), 2, row_group=100_000, page=10_000)
+    files = sorted((tmp_path / "tokens").glob("*.parquet"))
+    groups = [pq.ParquetFile(f).metadata.row_group(g) for f in files for g in range(pq.ParquetFile(f).num_row_groups)]
+    assert len(groups) > 4
+    column = {groups[0].column(c).path_in_schema: c for c in range(groups[0].num_columns)}
+    spans = [(g.column(column["doc_id"]).statistics.min, g.column(column["doc_id"]).statistics.max) for g in groups]
+    assert sum(lo <= 1010 and hi >= 1000 for lo, hi in spans) <= 2
+    assert all(g.column(c).has_offset_index and g.column(c).has_column_index for g in groups for c in range(g.num_columns))
+    few = spark.read.parquet(path).where("doc_id between 1000 and 1010").select("doc_id", "n_tokens")
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "ids" not in plan and "GreaterThanOrEqual(doc_id,1000)" in plan
+    assert few.count() == 11
