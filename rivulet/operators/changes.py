@@ -1,7 +1,8 @@
 """Change logs and what is read from them.
 
 A change row is (tx_id, ts, op, key..., before, after) with op insert, update or delete; ``before`` and ``after`` are
-structs of the whole row, so that deletes match by what was there. A table is what its log folds to.
+structs of the whole row, so that deletes match by what was there. A table is what its log folds to. Changes of one
+transaction are in the order of ``seq``, if the log has that column; a log without it has one change a key and transaction.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ def _latest(log: DataFrame, key: list[str], *order: Column) -> DataFrame:
     return log.groupBy(*key).agg(row).select(*key, "row.*")
 
 
+def _when(log: DataFrame) -> Column:
+    return F.struct("tx_id", "seq") if "seq" in log.columns else F.struct("tx_id")
+
+
 def as_of(log: DataFrame, key: list[str], tx: int | None = None, ts=None, oldest_tx: int | None = None) -> DataFrame:
     """The rows of a table at a point in its log; newer than the newest gives the live table."""
     if oldest_tx is not None and tx is not None and tx < oldest_tx:
@@ -32,7 +37,7 @@ def as_of(log: DataFrame, key: list[str], tx: int | None = None, ts=None, oldest
         seen = seen.where(F.col("tx_id") <= tx)
     if ts is not None:
         seen = seen.where(F.col("ts") <= ts)
-    return _latest(seen, key, F.col("tx_id")).where("op != 'delete'").select("after.*")
+    return _latest(seen, key, _when(seen)).where("op != 'delete'").select("after.*")
 
 
 def replay(log: DataFrame, key: list[str]) -> DataFrame:
@@ -102,18 +107,18 @@ def overlay(base: DataFrame, upserts: DataFrame, deletes: DataFrame, key: list[s
 
 
 def auto_increment(rows: DataFrame, column: str, last: int, order: list[str]) -> DataFrame:
-    """Zero becomes the next number after ``last`` and all explicit ones.
-    """
+    """Zero and null become the next number after ``last`` and all explicit ones."""
+    given = F.coalesce(F.col(column), F.lit(0)) != 0
     top = rows.agg(F.greatest(F.lit(last).cast("long"), F.coalesce(F.max(column), F.lit(0))).alias("_top"))  # one row
-    fresh = numbered(rows.where(F.col(column) == 0), order, "_n").crossJoin(F.broadcast(top))
+    fresh = numbered(rows.where(~given), order, "_n").crossJoin(F.broadcast(top))
     fresh = fresh.withColumn(column, F.col("_top") + F.col("_n")).select(*rows.columns)
-    return fresh.unionByName(rows.where(F.col(column) != 0))
+    return fresh.unionByName(rows.where(given))
 
 
 def net_changes(log: DataFrame, key: list[str]) -> DataFrame:
     """One change for each key of a batch; what ends as it began is nothing."""
     ends = log.groupBy(*key).agg(
-        F.min_by(F.struct("op", "before"), "tx_id").alias("first"), F.max_by(F.struct("op", "after"), "tx_id").alias("last"), F.max("tx_id").alias("tx_id")
+        F.min_by(F.struct("op", "before"), _when(log)).alias("first"), F.max_by(F.struct("op", "after"), _when(log)).alias("last"), F.max("tx_id").alias("tx_id")
     )
     before = F.when(F.col("first.op") != "insert", F.col("first.before"))
     after = F.when(F.col("last.op") != "delete", F.col("last.after"))
@@ -131,11 +136,11 @@ def deltas(log: DataFrame, predicate, key: list[str]) -> DataFrame:
     was = F.col("before").isNotNull() & F.coalesce(predicate(F.col("before")), F.lit(False))
     now = F.col("after").isNotNull() & F.coalesce(predicate(F.col("after")), F.lit(False))
     rows = log.withColumns({"_was": was, "_now": now}).where("_was or _now").where(~(F.col("_was") & F.col("_now") & F.col("before").eqNullSafe(F.col("after"))))
-    gone = rows.where("_was").select("tx_id", F.lit("delete").alias("op"), *(F.col(f"before.{k}").alias(k) for k in key), F.lit(None).cast(log.schema["after"].dataType).alias("row"))
+    # An update within the predicate goes out as its new row alone: a row of the log says so by itself.
+    same = reduce(and_, (F.col(f"before.{k}").eqNullSafe(F.col(f"after.{k}")) for k in key))
+    gone = rows.where(F.col("_was") & ~(F.col("_now") & same)).select("tx_id", F.lit("delete").alias("op"), *(F.col(f"before.{k}").alias(k) for k in key), F.lit(None).cast(log.schema["after"].dataType).alias("row"))
     come = rows.where("_now").select("tx_id", F.lit("insert").alias("op"), *(F.col(f"after.{k}").alias(k) for k in key), F.col("after").alias("row"))
-    stays = rows.where("_was and _now").select("tx_id", *(F.col(f"after.{k}").alias(k) for k in key))
-    # An update within the predicate goes out as its new row alone.
-    return gone.join(stays, ["tx_id", *key], "left_anti").unionByName(come)
+    return gone.unionByName(come)
 
 
 def masked_changes(log: DataFrame, visible: list[str]) -> DataFrame:
@@ -166,6 +171,32 @@ def reconcile(old: DataFrame, fresh: DataFrame) -> DataFrame:
     return old.exceptAll(fresh).withColumn("op", F.lit("delete")).unionByName(fresh.exceptAll(old).withColumn("op", F.lit("insert")))
 
 
+class Optimistic:
+    """A client's view of a table: what the server confirmed, under the layers of calls that it has not answered yet."""
+
+    def __init__(self, confirmed: DataFrame, key: list[str]):
+        self.confirmed, self.key = confirmed, key
+        self.layers: dict[str, tuple[DataFrame, DataFrame]] = {}  # in the order of the calls
+
+    def apply(self, call: str, upserts: DataFrame | None = None, deletes: DataFrame | None = None) -> None:
+        none = self.confirmed.limit(0)
+        self.layers[call] = (none if upserts is None else upserts, (none if deletes is None else deletes).select(*self.key))
+
+    def rows(self) -> DataFrame:
+        out = self.confirmed
+        for upserts, deletes in self.layers.values():
+            out = overlay(out, upserts, deletes, self.key)
+        return out
+
+    def confirm(self, call: str, confirmed: DataFrame) -> None:
+        """The server's rows take the place of the call's layer; later layers stay on top."""
+        self.layers.pop(call, None)
+        self.confirmed = confirmed
+
+    def rollback(self, call: str) -> None:
+        self.layers.pop(call, None)
+
+
 # Time
 
 
@@ -175,7 +206,7 @@ def expired(df: DataFrame, column: str, now: Column) -> DataFrame:
 
 def idle(log: DataFrame, key: list[str], now: Column, after_us: int) -> DataFrame:
     """Keys whose last write is longer ago than ``after_us``; deleted ones are gone already."""
-    last = _latest(log, key, F.col("tx_id")).where("op != 'delete'")
+    last = _latest(log, key, _when(log)).where("op != 'delete'")
     age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
     return last.where(age > after_us).select(*key, F.col("ts").alias("last_write"))
 

@@ -6,12 +6,11 @@ ordinary DataFrame; written out clustered by term they serve any number of queri
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.errors import Unsupported
@@ -60,10 +59,9 @@ class Analyzer:
         return placed
 
     def terms_of(self, text: str) -> list[tuple[int, str]]:
-        """The same for a text of a query."""
-        words = [w.lower() for w in re.findall(r"[^\W_]+", text)]
-        kept = [(k, w) for k, w in enumerate(words) if not (self._stops and w in STOP_WORDS)]
-        return [(k, _stem(w) if self._stems else w) for k, w in kept]
+        """The same for a text of a query, by the same expression: words are cut, folded and stemmed alike on both sides."""
+        spark = SparkSession.active()
+        return [(t["pos"], t["term"]) for t in spark.range(1).select(self.terms(F.lit(text)).alias("t")).first()["t"]]
 
 
 def stem(word: Column) -> Column:
@@ -77,14 +75,6 @@ def stem(word: Column) -> Column:
     return out.when(plural, F.substr(word, F.lit(1), F.length(word) - 1)).otherwise(word)
 
 
-def _stem(word: str) -> str:
-    size = len(word.encode())
-    for suffix, new, least in SUFFIXES:
-        if word.endswith(suffix) and size >= len(suffix) + least:
-            return word[: -len(suffix)] + new
-    return word[:-1] if word.endswith("s") and not word.endswith("ss") and size > 3 else word
-
-
 def text_column(df: DataFrame, name: str) -> Column:
     """A text column, or an array of texts joined by spaces."""
     return F.concat_ws(" ", name) if df.schema[name].dataType.typeName() == "array" else F.col(name)
@@ -178,9 +168,9 @@ def with_score(df: DataFrame, text: str, query: str, analyzer: Analyzer) -> Data
     frequency, a single row - and one for the scores. Nothing else is shuffled.
     """
     items = match_items(query, analyzer)
-    terms = F.col("_terms")
-    rows = df.withColumn("_terms", analyzer.terms(text_column(df, text)))
-    rows = rows.select(*df.columns, F.size(terms).alias("_dl"), F.array(*(_occurrences(terms, item) for item in items)).alias("_tf"))
+    counted = _let(analyzer.terms(text_column(df, text)), lambda terms: F.struct(F.size(terms).alias("dl"), _counts(terms, items).alias("tf")))
+    rows = df.withColumn("_seen", counted)
+    rows = rows.select(*df.columns, F.col("_seen.dl").alias("_dl"), F.col("_seen.tf").alias("_tf"))
     seen = [F.sum((F.col("_tf")[k] > 0).cast("long")) for k in range(len(items))]
     corpus = rows.agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avg"), F.array(*seen).alias("_df"))
     found = rows.where(F.forall("_tf", lambda x: x > 0)).crossJoin(F.broadcast(corpus))  # one row
@@ -206,6 +196,42 @@ def bm25_from_postings(post: DataFrame, lengths: DataFrame, key: str, query: str
     return scored.groupBy(key).agg(F.sum(part).alias("_score"), F.count(F.lit(1)).alias("n")).where(F.col("n") == len(items)).drop("n")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it: the optimizer copies plain expressions."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _counts(terms: Column, items: list[Item]) -> Column:
+    """How often each item occurs, counted among the terms that some item speaks of."""
+    exact = sorted({t for item in items if item.kind != "prefix" for _, t in item.terms})
+    tests = [lambda x: x["term"].isin(exact)] * bool(exact) + [_begins(item.terms[0][1]) for item in items if item.kind == "prefix"]
+    asked = F.filter(terms, lambda x: reduce(or_, (test(x) for test in tests)))
+    return _let(asked, lambda some: F.array(*(_occurrences(some, item) for item in items)))
+
+
+@dataclass(frozen=True)
+class StoredIndex:
+    """Postings clustered by term and document lengths, as tables: a query reads the row groups of its terms alone."""
+
+    post: DataFrame
+    lengths: DataFrame
+
+    @classmethod
+    def write(cls, df: DataFrame, key: str, text: str, analyzer: Analyzer, path: str) -> StoredIndex:
+        post = postings(df, key, text, analyzer)
+        # Common terms are split over files by key; a term's postings lie together all the same.
+        post.repartitionByRange("term", key).sortWithinPartitions("term", key, "pos").write.parquet(f"{path}/postings")
+        document_lengths(df, key, text, analyzer).write.parquet(f"{path}/lengths")
+        return cls.read(df.sparkSession, path)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> StoredIndex:
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+
+    def scores(self, key: str, query: str, analyzer: Analyzer) -> DataFrame:
+        return bm25_from_postings(self.post, self.lengths, key, query, analyzer)
+
+
 def _occurrences(terms: Column, item: Item) -> Column:
     """How often an item occurs among the terms of a text."""
     if item.kind == "prefix":
@@ -233,5 +259,5 @@ def _before(distance: int):
 
 def matches(text: Column, query: str, analyzer: Analyzer) -> Column:
     """Whether a text matches, by itself: the predicate for filters and live deltas."""
-    terms = analyzer.terms(text)
-    return reduce(and_, (_occurrences(terms, item) > 0 for item in match_items(query, analyzer)))
+    items = match_items(query, analyzer)
+    return F.forall(_counts(analyzer.terms(text), items), lambda n: n > 0)

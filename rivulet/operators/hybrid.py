@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,14 +50,18 @@ def rerank(scored: DataFrame, key: str, score: str, hook: Callable[[DataFrame],
     """(key, position): the hook orders the top rows, the others follow in their order.
 
     ``hook`` gets the top rows and returns (key, rank). Rows that it invents are dropped, rows that it leaves out come
-    after those it named. If it fails, the order stands as it was.
+    after those it named. If it fails - its plan or its run, which is done here over the ``top`` rows - the order stands as
+    it was, and a warning says why.
     """
     head = scored.orderBy(F.desc(score), key).limit(top)
-    try:
-        named = hook(head).select(key, F.col("rank").alias("_rank"))
-    except Exception:  # a plugin's failure must not fail the query
-        named = head.select(key, F.lit(None).cast("int").alias("_rank"))
     inside = head.select(key).withColumn("_in", F.lit(True))
+    named = head.select(key, F.lit(None).cast("int").alias("_rank"))
+    try:
+        order = hook(head).select(key, F.col("rank").cast("int").alias("_rank")).join(F.broadcast(inside.drop("_in")), key, "left_semi")
+        rows = order.groupBy(key).agg(F.min("_rank").alias("_rank")).collect()  # ``top`` rows at most
+        named = scored.sparkSession.createDataFrame(rows, named.schema)
+    except (PySparkException, ArithmeticError, LookupError, RuntimeError, TypeError, ValueError) as e:
+        warnings.warn(f"the reranker failed, its rows keep their order: {e}", stacklevel=2)
     joined = scored.join(F.broadcast(inside), key, "left").join(F.broadcast(named.join(inside.drop("_in"), key, "left_semi")), key, "left")
     order = [F.desc_nulls_last("_in"), F.asc_nulls_last("_rank"), F.desc(score), F.asc(key)]
     return numbered(joined, order, "position").select(key, "position")

@@ -157,13 +157,22 @@ class Compiled:
     score: tuple[str, str, fulltext.Analyzer] | None = None  # column, query, analyzer
     order: list[Column] = _field(default_factory=list)
     limit: int | None = None
+    match: tuple[str, str, fulltext.Analyzer] | None = None  # the same, of a match without a score too
+    rest: Column | None = None  # the predicate without the match
 
-    def apply(self, df: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
+    def apply(self, df: DataFrame, bounds: Bounds = Bounds(), index: fulltext.StoredIndex | None = None) -> DataFrame:
+        """The rows of ``df``; a match is answered from a stored index of the whole table, if there is one."""
         if bounds.scan_budget is not None and df.limit(bounds.scan_budget + 1).count() > bounds.scan_budget:
             raise ScanBudgetExceeded(f"more than {bounds.scan_budget} rows")
         # Scores are over the whole table, whatever the other conditions are.
-        out = fulltext.with_score(df, *self.score) if self.score else df
-        out = out.where(self.predicate)
+        if index is not None and self.match:
+            key = self.spec.primary_key[0]
+            found = index.scores(key, *self.match[1:])
+            out = df.where(self.rest).join(found, key).select(*df.columns, "_score")
+            out = out if self.score else out.drop("_score")
+        else:
+            out = fulltext.with_score(df, *self.score) if self.score else df
+            out = out.where(self.predicate)
         if self.order:
             out = out.orderBy(*self.order)
         limit = bounds.limit(self.limit)
@@ -258,7 +267,6 @@ def compile_select(select: Select, spec: TableSpec) -> Compiled:
         if select.spatial:
             raise Unsupported("MATCH with a spatial clause")
         analyzer = fulltext.Analyzer.of(index)
-        conditions.append(fulltext.matches(F.col(found[0].column), found[0].query, analyzer))
         score = (found[0].column, found[0].query, analyzer)
     if select.spatial:
         conditions.append(spatial_condition(select.spatial, spec))
@@ -274,9 +282,9 @@ def compile_select(select: Select, spec: TableSpec) -> Compiled:
         order = [F.desc_nulls_last(name) if desc else F.asc_nulls_first(name), *(map(F.desc if desc else F.asc, spec.primary_key))]
     if select.after:
         conditions.append(_after(select, spec))
-    if not (select.score or by_score):
-        score = None
-    return Compiled(select, spec, reduce(and_, conditions, F.lit(True)), score, order, select.limit)
+    match, rest = score, reduce(and_, conditions, F.lit(True))
+    predicate = rest if match is None else rest & fulltext.matches(F.col(match[0]), *match[1:])
+    return Compiled(select, spec, predicate, score if select.score or by_score else None, order, select.limit, match, rest)
 
 
 def _after(select: Select, spec: TableSpec) -> Column:

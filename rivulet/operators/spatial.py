@@ -67,6 +67,11 @@ def hash_shard(key: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
 
 
+def placed_shard(partitioning: str | None, key: Column, shards: int) -> Column:
+    """The shard of a table's rows: by hash of the key, or all on shard 0 if the table is global or not partitioned."""
+    return hash_shard(key, shards) if partitioning == "hash" else F.lit(0)
+
+
 def range_shard(key: Column, bounds: list) -> Column:
     """The greatest bound at or below the key; keys below the first go to it."""
     out = F.lit(0)

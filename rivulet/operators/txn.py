@@ -98,9 +98,7 @@ class Transaction:
 
     def commit(self) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
         """(tables, changes by table): triggers run, deletions act on children, and every constraint holds."""
-        for table, rows in CO.run_triggers(dict(self.upserts), self.triggers).items():
-            if rows is not self.upserts.get(table):
-                self._stage(table, rows)
+        self._run_triggers()
         out = dict(self.committed)
         for table, keys in self.deletes.items():
             gone = out[table].join(keys, self._key(table), "left_semi")
@@ -112,6 +110,29 @@ class Transaction:
             CO.validate(out[table], self._spec(table), out)
         return out, {t: self._changes(t, out[t]) for t in touched}
 
+    def _run_triggers(self) -> None:
+        """Each trigger is told of the rows that came, changed (as they are now) and went (as they were), by its event; the rows it
+        adds are writes like others, with triggers of their own."""
+        fresh = [(t, event, rows) for t in self.upserts for event, rows in self._events(t, self.upserts[t], self.committed[t])]
+        fresh += [(t, "delete", self.committed[t].join(keys, self._key(t), "left_semi")) for t, keys in self.deletes.items()]
+        depth = 0
+        while fresh := [(t, event, rows) for t, event, rows in fresh if t in self.triggers and not rows.isEmpty()]:
+            if depth >= CO.DEPTH:
+                raise EngineError(f"triggers nested deeper than {CO.DEPTH}")
+            added: dict[str, DataFrame] = {}
+            for table, event, rows in fresh:
+                for trigger in self.triggers[table]:
+                    for name, more in trigger(event, rows).items():
+                        added[name] = more if name not in added else added[name].unionByName(more)
+            fresh = [(t, event, rows) for t, more in added.items() for event, rows in self._events(t, more, self.scan(t))]
+            for table, more in added.items():
+                self._stage(table, more)
+            depth += 1
+
+    def _events(self, table: str, rows: DataFrame, old: DataFrame) -> list[tuple[str, DataFrame]]:
+        keys, key = old.select(*self._key(table)), self._key(table)
+        return [("insert", rows.join(keys, key, "left_anti")), ("update", rows.join(keys, key, "left_semi"))]
+
     def _changes(self, table: str, after: DataFrame) -> DataFrame:
         """(op, key, before, after) of the rows that differ."""
         key = self._key(table)
@@ -122,6 +143,15 @@ class Transaction:
         return rows.select(op.alias("op"), *key, "before", "after")
 
 
+def view(function: Callable, catalog: Catalog, tables: dict[str, DataFrame], *args) -> DataFrame:
+    """The rows of a view function: it reads by a transaction of its own, and may write nothing."""
+    txn = Transaction(catalog, tables)
+    rows = txn.call(function, *args)
+    if txn.upserts or txn.deletes:
+        raise EngineError("a view function wrote")
+    return rows
+
+
 def run(procedure: Callable, catalog: Catalog, tables: dict[str, DataFrame], *args, triggers: dict | None = None):
     """Run a procedure in a transaction of its own; its error leaves ``tables`` as they are."""
     txn = Transaction(catalog, tables, triggers)

@@ -5,6 +5,7 @@ Names follow the operators they show. Doubles that are summed are rounded to six
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -20,11 +21,13 @@ from rivulet.operators import graph as GR
 from rivulet.operators import hybrid as HY
 from rivulet.operators import spatial as SP
 from rivulet.operators import views as VI
-from rivulet.operators.select import Between, Cmp, Eq, In, Order, Radius, Region, Select, compile_select, lookup
+from rivulet.operators import txn as TX
+from rivulet.operators.select import Between, Cmp, Eq, In, Match, Order, Radius, Region, Select, compile_select, lookup
 from rivulet.plans import specs as S
+from rivulet.schema import Catalog, Index, TableSpec, migrate, with_columns
 from rivulet.schema import Column as ColumnSpec
-from rivulet.schema import Index, TableSpec, migrate, with_columns
 from rivulet.sources import catalog as catalog_rows
+from rivulet.sources.shared import shared_dir
 from rivulet.sources.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,7 +63,7 @@ def selects(name: str, select: Select, spec: TableSpec, sql: str) -> None:
 
 # Scans, filters, order, pages
 
-selects("scan_full", Select("nation"), S.NATION, "SELECT * FROM nation")
+selects("scan_full", Select("orders"), S.ORDERS, "SELECT * FROM orders")
 selects("filter_eq", Select("orders", (Eq("o_orderstatus", "F"),)), S.ORDERS, "SELECT * FROM orders WHERE o_orderstatus = 'F'")
 selects("filter_in", Select("orders", (In("o_orderpriority", ("1-URGENT", "5-LOW")),)), S.ORDERS, "SELECT * FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')")
 selects("filter_in_many", Select("part", (In("p_partkey", tuple(range(0, 900, 3))),)), S.PART, "SELECT * FROM part WHERE p_partkey < 900 AND p_partkey % 3 = 0")
@@ -167,10 +170,10 @@ spatial(
 )
 
 
-@query(f"SELECT * FROM {_POINTS} WHERE y = 77 AND x > 0")
+@query("SELECT c_custkey AS id, CAST(c_custkey % 30 AS DOUBLE) AS x, CAST(c_custkey % 1000 AS DOUBLE) AS y FROM customer WHERE c_custkey % 1000 = 77 AND c_custkey % 30 = 17")
 def spatial_point(spark, d):
-    p = points(Tables(spark, d)).where("x > 0")
-    return p.where(SP.point_at(F.lit(77.0), F.col("y"), 77.0, 77.0))
+    grid = points(Tables(spark, d)).withColumn("x", (F.col("id") % 30).cast("double"))
+    return grid.where(SP.point_at(F.col("x"), F.col("y"), 17.0, 77.0))
 
 
 @query(f"SELECT * FROM {_BOXES} WHERE min_x <= 12 AND max_x >= 12 AND min_y <= 33 AND max_y >= 33")
@@ -294,15 +297,14 @@ def fts_stems(spark, d):
     return post.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("places"))
 
 
-@query(f"WITH {_WORDS} SELECT doc_id, term, count(*) AS tf, min(pos) AS first_pos FROM words WHERE term LIKE 'th%' GROUP BY ALL")
+@query(f"WITH {_WORDS} SELECT doc_id, term, pos FROM words")
 def fts_postings(spark, d):
-    post = FT.postings(Tables(spark, d).documents, "doc_id", "text", SIMPLE).where(F.col("term").startswith("th"))
-    return post.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos"))
+    return FT.postings(Tables(spark, d).documents, "doc_id", "text", SIMPLE)
 
 
 @query(f"WITH {_WORDS} SELECT doc_id, term, count(*) AS tf, min(pos) AS first_pos FROM words GROUP BY ALL")
 def fts_postings_full(spark, d):
-    """The postings of every term; ``fts_postings`` shows those of one prefix."""
+    """The postings as one row for a document and term."""
     post = FT.postings(Tables(spark, d).documents, "doc_id", "text", SIMPLE)
     return post.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos"))
 
@@ -372,6 +374,44 @@ def fts_bm25_topk(spark, d):
     return out.orderBy(F.desc("_score"), "doc_id").limit(10).select("doc_id", F.round("_score", 6).alias("score"))
 
 
+# The same by the analyzer that declared indexes use, whose words end where the script says (combining vowels are part of them),
+# and by stored postings.
+
+
+@query(f"WITH {_WORDS} SELECT doc_id FROM words WHERE term IN ('the', 'and') GROUP BY 1 HAVING count(DISTINCT term) = 2")
+def fts_match_default_analyzer(spark, d):
+    return compile_select(Select("documents", (Match("text", "The and"),)), S.DOCUMENTS).apply(Tables(spark, d).documents).select("doc_id")
+
+
+@query(
+    """WITH d(doc_id, w) AS (VALUES (1, ['हिन्दी', 'भाषा', 'में']), (2, ['ภาษาไทย']), (3, ['العربيّة', 'لغة']), (4, ['हिन्दी']))
+       SELECT CAST(doc_id AS BIGINT) AS doc_id, 'हिन्दी' AS query FROM d WHERE list_contains(w, 'हिन्दी') UNION ALL SELECT doc_id, 'العربيّة' FROM d WHERE list_contains(w, 'العربيّة')
+       UNION ALL SELECT doc_id, 'ภาษาไทย' FROM d WHERE list_contains(w, 'ภาษาไทย')"""
+)
+def fts_match_scripts(spark, d):
+    """Words with combining vowels are found by themselves."""
+    df = spark.createDataFrame([(1, "हिन्दी भाषा में"), (2, "ภาษาไทย"), (3, "العربيّة لغة"), (4, "(हिन्दी)")], "doc_id long, text string")
+    parts = [df.where(FT.matches(F.col("text"), w, FT.Analyzer())).select("doc_id", F.lit(w).alias("query")) for w in ("हिन्दी", "العربيّة", "ภาษาไทย")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _stored(spark, d) -> FT.StoredIndex:
+    path = f"{shared_dir(spark).rstrip('/')}/rivulet/fulltext-{uuid.uuid4().hex}"
+    return FT.StoredIndex.write(Tables(spark, d).documents, "doc_id", "text", SIMPLE, path)
+
+
+@query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM scored")
+def fts_bm25_stored(spark, d):
+    out = _stored(spark, d).scores("doc_id", 'the er* "of the"', SIMPLE)
+    return out.select("doc_id", F.round("_score", 6).alias("score"))
+
+
+@query(f"WITH {_WORDS} SELECT doc_id, lang FROM documents WHERE lang = 'en' AND doc_id IN (SELECT doc_id FROM words WHERE term = 'with')")
+def fts_select_stored(spark, d):
+    plan = compile_select(Select("documents", (Match("text", "with"), Eq("lang", "en"))), S.DOCUMENTS)
+    return plan.apply(Tables(spark, d).documents, index=_stored(spark, d)).select("doc_id", "lang")
+
+
 # Dense and hybrid
 
 #: The stated query vector: 64 numbers from a rule.
@@ -783,6 +823,17 @@ def sub_resume_window(spark, d):
     return CH.resume(_deltas(Tables(spark, d)), 900)[0].select("tx_id", "user_id")
 
 
+@query(
+    f"""WITH {_LOG}, d AS (SELECT tx_id FROM log WHERE {_IN} AND NOT ({_WAS} AND old_value = value AND old_type = event_type) OR {_WAS} AND NOT {_IN}),
+        w AS (SELECT DISTINCT tx_id FROM d ORDER BY tx_id DESC LIMIT 256)
+        SELECT o AS "offset", (SELECT count(*) = 256 AND o < min(tx_id) - 1 FROM w) AS reset FROM (VALUES (3), (CAST(1e15 AS BIGINT))) v(o)"""
+)
+def sub_resume_reset(spark, d):
+    """A reader far behind starts anew, one that saw all does not."""
+    found = [(o, bool(CH.resume(_deltas(Tables(spark, d)), o)[1])) for o in (3, 10**15)]
+    return spark.createDataFrame(found, "offset long, reset boolean")
+
+
 @query(f"WITH {_LOG} SELECT count(*) AS n FROM log WHERE NOT (live AND had AND old_type = event_type)")
 def sub_masked_suppression(spark, d):
     return CH.masked_changes(event_log(Tables(spark, d)), ["event_type"]).agg(F.count(F.lit(1)).alias("n"))
@@ -859,6 +910,17 @@ def shard_range(spark, d):
     return Tables(spark, d).orders.groupBy(SP.range_shard(F.col("o_custkey"), [100, 500, 1000]).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT 'hash' AS partitioning, count(*) AS n, count(*) > 0 AS spread FROM orders UNION ALL SELECT 'none', count(*), false FROM orders UNION ALL SELECT 'global', count(*), false FROM orders")
+def shard_placement(spark, d):
+    """Only tables that are partitioned leave shard 0."""
+    orders = Tables(spark, d).orders
+    parts = []
+    for kind in ("hash", None, "global"):
+        shard = SP.placed_shard(kind, F.col("o_custkey"), 8)
+        parts.append(orders.agg(F.lit(kind or "none").alias("partitioning"), F.count(F.lit(1)).alias("n"), (F.max(shard) > 0).alias("spread")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query(
     f"""SELECT ((((CAST(floor(y / 100) AS BIGINT) % 4) + 4) % 4) + (((CAST(floor(x / 100) AS BIGINT) % 4) + 4) % 4) * 4) % 6 AS shard, count(*) AS n FROM {_POINTS} GROUP BY 1"""
 )
@@ -886,3 +948,78 @@ def catalog_columns(spark, d):
 def schema_migration(spark, d):
     new = with_columns(S.REGION, columns=(S.REGION.columns[0], ColumnSpec("name", "str", renamed_from="r_name"), ColumnSpec("note", "str", default="new")))
     return migrate(Tables(spark, d).region, S.REGION, new)
+
+
+# Transactions, view functions and optimistic layers over customer and orders
+
+_ACCOUNT = TableSpec("account", (ColumnSpec("id", "id"), ColumnSpec("v", "i64")), ("id",))
+_NOTES = TableSpec("notes", (ColumnSpec("id", "id"), ColumnSpec("event", "str")), ("id",))
+_BOOKS = Catalog(_ACCOUNT, _NOTES)
+
+
+def _books(spark, d) -> dict[str, DataFrame]:
+    accounts = Tables(spark, d).customer.select(F.col("c_custkey").alias("id"), F.col("c_custkey").cast("long").alias("v"))
+    return {"account": accounts, "notes": spark.createDataFrame([], "id long, event string")}
+
+
+@query(
+    """SELECT c_custkey AS id, 'update' AS event FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT c_custkey, 'delete' FROM customer WHERE c_custkey % 7 = 0 AND c_custkey % 5 <> 0
+       UNION ALL SELECT c_custkey + 1000000, 'insert' FROM customer WHERE c_custkey % 11 = 0"""
+)
+def txn_trigger_events(spark, d):
+    """Triggers are told what came, changed and went, and what they write is part of the transaction."""
+
+    def procedure(t):
+        old = t.snapshot("account")
+        t.delete("account", old.where("id % 7 = 0 and id % 5 <> 0"))
+        t.upsert("account", old.where("id % 5 = 0").select("id", (F.col("v") + 1).alias("v")))
+        t.insert("account", old.where("id % 11 = 0").select((F.col("id") + 1000000).alias("id"), "v"))
+
+    trigger = lambda event, rows: {"notes": rows.select("id", F.lit(event).alias("event"))}
+    return TX.run(procedure, _BOOKS, _books(spark, d), triggers={"account": [trigger]})[0]["notes"]
+
+
+@query("SELECT c_custkey AS id, c_custkey AS v FROM customer WHERE c_custkey <= 20")
+def view_function(spark, d):
+    return TX.view(lambda t, most: t.scan("account").where(F.col("id") <= most), _BOOKS, _books(spark, d), 20)
+
+
+@query(
+    """SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN -1 WHEN c_custkey % 2 = 0 THEN c_custkey + 1 ELSE c_custkey END AS v
+       FROM customer WHERE c_custkey % 10 <> 9 OR c_custkey % 3 = 0"""
+)
+def optimistic_layers(spark, d):
+    """Of three unanswered calls one is confirmed, one rolled back; the last, on top, stays as it was applied."""
+    base = _books(spark, d)["account"]
+    cache = CH.Optimistic(base, ["id"])
+    even = base.where("id % 2 = 0").select("id", (F.col("v") + 1).alias("v"))
+    cache.apply("a", upserts=even)
+    cache.apply("b", upserts=base.select("id", F.lit(0).cast("long").alias("v")))
+    cache.apply("c", upserts=base.where("id % 3 = 0").select("id", F.lit(-1).cast("long").alias("v")), deletes=base.where("id % 10 = 9 and id % 3 <> 0"))
+    cache.confirm("a", CH.upsert(base, even, ["id"]))
+    cache.rollback("b")
+    return cache.rows()
+
+
+@query(
+    """WITH RECURSIVE c AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+        r AS (SELECT event_id, user_id, us, n, 1.0::DOUBLE AS left_, true AS admitted FROM c WHERE n = 1
+              UNION ALL SELECT c.event_id, c.user_id, c.us, c.n, t - CAST(t >= 1 AS INT), t >= 1
+              FROM (SELECT c.*, least(2.0::DOUBLE, r.left_ + (c.us - r.us) * 0.0001::DOUBLE / 1e6) AS t FROM c JOIN r ON c.user_id = r.user_id AND c.n = r.n + 1) c)
+       SELECT event_id, admitted FROM r"""
+)
+def rate_limit_admissions(spark, d):
+    calls = Tables(spark, d).events.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
+    return CH.token_bucket(calls, "user_id", "at_us", 2, 0.0001).select("event_id", "admitted")
+
+
+@query("SELECT c_custkey AS id, 2 AS v FROM customer WHERE c_custkey % 4 <> 0")
+def changes_in_one_transaction(spark, d):
+    """Three changes of a key in one transaction, in the order of ``seq``: the last is what stands."""
+    ids = Tables(spark, d).customer.select(F.col("c_custkey").alias("id"))
+    row = lambda v: F.struct("id", F.lit(v).alias("v"))
+    none = F.lit(None).cast("struct<id: bigint, v: int>")
+    first = ids.select(F.lit(1).alias("tx_id"), F.lit(1).alias("seq"), F.lit("insert").alias("op"), "id", none.alias("before"), row(1).alias("after"))
+    second = ids.select(F.lit(1).alias("tx_id"), F.lit(2).alias("seq"), F.lit("update").alias("op"), "id", row(1).alias("before"), row(2).alias("after"))
+    third = ids.where("id % 4 = 0").select(F.lit(1).alias("tx_id"), F.lit(3).alias("seq"), F.lit("delete").alias("op"), "id", row(2).alias("before"), none.alias("after"))
+    return CH.replay(second.unionByName(third).unionByName(first), ["id"])

@@ -6,12 +6,33 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rivulet.errors import EngineError
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/rivulet-checkpoints"
+    """The folder that all executors share: ``spark.checkpoint.dir``; a local one only where all is one machine (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise EngineError("spark.checkpoint.dir must name a folder that all executors share")
+    return found or "/tmp/rivulet-checkpoints"
+
+
+def _file(spark: SparkSession, path: str):
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(spark._jsc.hadoopConfiguration()), file
+
+
+def claim(spark: SparkSession, path: str) -> bool:
+    """Create an empty file, and whether it was not there yet: of several writers one gets it."""
+    files, file = _file(spark, path)
+    return files.createNewFile(file)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    files, file = _file(spark, path)
+    files.delete(file, True)
 
 
 def write_once(df: DataFrame, path: str, **options: str) -> None:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.errors import OutOfWindow, UnknownTable
+from rivulet.sources.shared import claim
 
 READERS = ("parquet", "orc", "csv", "json", "text", "avro")
 
@@ -38,7 +39,11 @@ class VersionedTable:
         return self.commits().agg(F.max("version")).first()[0] or 0
 
     def commit(self, rows: DataFrame, changes: DataFrame | None = None) -> int:
+        """Write the next version. Its number is claimed first, so writers at the same time get different ones; the number of a
+        writer that failed is never used again."""
         version = self.latest() + 1
+        while not claim(self.spark, f"{self.path}/claims/{version}"):
+            version += 1
         rows.write.mode("overwrite").parquet(f"{self.path}/snapshots/version={version}")
         if changes is not None:
             changes.write.mode("overwrite").parquet(f"{self.path}/changes/version={version}")
@@ -67,9 +72,12 @@ class VersionedTable:
         return log.where(F.col("version") > after).join(self.commits().select("version"), "version", "left_semi")
 
     def copy_to(self, path: str) -> None:
-        """A backup: the live snapshot and its log under another root."""
-        other = VersionedTable(self.spark, path)
-        other.commit(self.snapshot())
+        """A backup: the live snapshot and the whole log under another root, as its first version."""
+        try:
+            log = self.changes()
+        except AnalysisException:
+            log = None  # nothing was logged
+        VersionedTable(self.spark, path).commit(self.snapshot(), log if log is None else log.withColumnRenamed("version", "of_version"))
 
 
 def put_blobs(df: DataFrame, column: str, path: str) -> DataFrame:

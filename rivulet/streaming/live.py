@@ -8,7 +8,11 @@ overwrites itself.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +21,9 @@ from rivulet.errors import SubscriptionLimit, TableNotPublic, UnknownQueryId
 from rivulet.operators import changes as C
 from rivulet.operators import views as V
 from rivulet.operators.governance import Viewer, project, visible_rows
-from rivulet.operators.select import Compiled, Select, compile_select
+from rivulet.operators.select import Compiled, Eq, Select, compile_select
 from rivulet.schema import Catalog
+from rivulet.sources.shared import discard
 
 PER_CONNECTION, PLANS = 1_000, 100_000
 
@@ -74,16 +79,53 @@ class Subscriptions:
         Order and limit are not applied to deltas; predicates, spatial ones too, and row rules are. Membership is the
         one before the batch.
         """
-        out = None
+        parts, pruned = [], defaultdict(list)
         for plan in self.plans.values():
-            spec = plan.compiled.spec
-            if spec.name != table:
+            if plan.compiled.spec.name != table:
                 continue
-            part = self._plan_deltas(plan, log, membership)
-            out = part if out is None else out.unionByName(part)
-        return out
+            constants = _constants(plan)
+            if constants:
+                pruned[tuple(constants)].append((plan.query_id, *constants.values()))
+            elif plan.compiled.spec.visibility.rule == "member_of" and not plan.viewer.is_peer:
+                parts.append(self._member_deltas(plan, log, membership))
+            else:
+                parts.append(self._plan_deltas(plan, log))
+        parts += [self._pruned_deltas(self.catalog.table(table), log, columns, rows) for columns, rows in pruned.items()]
+        return reduce(DataFrame.unionByName, parts) if parts else None
+
+    def _pruned_deltas(self, spec, log: DataFrame, columns: tuple[str, ...], rows: list[tuple]) -> DataFrame:
+        """Deltas of all plans that ask for equality on the same columns: a batch meets their constants in a join, so the plan has
+        one size for any number of them. A row whose columns stay as they are stays with its queries."""
+        constants = log.sparkSession.createDataFrame(rows, "query_id string, " + ", ".join(f"`_{c}` {spec.column(c).kind.spark}" for c in columns))
+        same = lambda names: reduce(and_, (F.col(f"before.{c}").eqNullSafe(F.col(f"after.{c}")) for c in names))
+        stays = F.col("before").isNotNull() & F.col("after").isNotNull() & same((*spec.primary_key, *columns))
+        hit = lambda side: reduce(and_, (F.col(f"{side}.{c}") == F.col(f"_{c}") for c in columns))
+        come = log.where(F.col("after").isNotNull()).join(constants, hit("after"))
+        gone = log.where(F.col("before").isNotNull() & ~stays).join(constants, hit("before"))
+        come = come.select("query_id", "tx_id", F.lit("insert").alias("op"), *(F.col(f"after.{k}").alias(k) for k in spec.primary_key), F.to_json(F.struct(*(f"after.{c.name}" for c in spec.columns))).alias("row"))
+        gone = gone.select("query_id", "tx_id", F.lit("delete").alias("op"), *(F.col(f"before.{k}").alias(k) for k in spec.primary_key), F.lit(None).cast("string").alias("row"))
+        return come.unionByName(gone)
+
+    def _plan_deltas(self, plan: Plan, log: DataFrame) -> DataFrame:
+        """One plan by its own predicate: a row of the log says by itself whether it was and is among the plan's rows."""
+        spec, key = plan.compiled.spec, list(plan.compiled.spec.primary_key)
+        rule, seen = spec.visibility, plan.compiled.predicate
+        if rule.rule == "owner_only" and not plan.viewer.is_peer:
+            seen = seen & (F.col(rule.column) == plan.viewer.identity)
+        rows = log.select("tx_id", "before", "after")
+        for side, flag in (("before", "_was"), ("after", "_now")):
+            held = [c for c in rows.columns if c.startswith("_")]
+            hit = F.col(side).isNotNull() & F.coalesce(seen, F.lit(False))
+            rows = rows.select("tx_id", "before", "after", *held, f"{side}.*").select("tx_id", "before", "after", *held, hit.alias(flag))
+        same = reduce(and_, (F.col(f"before.{k}").eqNullSafe(F.col(f"after.{k}")) for k in key))
+        now = rows.where("_now").select(F.col("tx_id").alias("_tx"), "after.*")
+        shown = project(now, _with(spec, "_tx"), plan.viewer)
+        come = shown.select(F.col("_tx").alias("tx_id"), F.lit("insert").alias("op"), *key, F.to_json(F.struct(*[c.name for c in spec.columns])).alias("row"))
+        gone = rows.where(F.col("_was") & ~(F.col("_now") & F.coalesce(same, F.lit(False))))
+        gone = gone.select("tx_id", F.lit("delete").alias("op"), *(F.col(f"before.{k}").alias(k) for k in key), F.lit(None).cast("string").alias("row"))
+        return come.unionByName(gone).select(F.lit(plan.query_id).alias("query_id"), "*")
 
-    def _plan_deltas(self, plan: Plan, log: DataFrame, membership: DataFrame | None) -> DataFrame:
+    def _member_deltas(self, plan: Plan, log: DataFrame, membership: DataFrame | None) -> DataFrame:
         spec, key = plan.compiled.spec, list(plan.compiled.spec.primary_key)
         sides = {}
         for side in ("before", "after"):
@@ -97,6 +139,19 @@ class Subscriptions:
         return come.unionByName(gone).select(F.lit(plan.query_id).alias("query_id"), "*")
 
 
+def _constants(plan: Plan) -> dict:
+    """Column -> value of a plan that is equalities alone over rows and columns that all its readers see alike, else nothing."""
+    spec, select = plan.compiled.spec, plan.compiled.select
+    rule = "public_all" if plan.viewer.is_peer else spec.visibility.rule
+    plain = all(c.grant == "public" and not c.mask for c in spec.columns)
+    if select.spatial or select.after or not plain or rule == "member_of" or not all(isinstance(c, Eq) for c in select.where):
+        return {}
+    asked = [(c.column, c.value) for c in select.where] + [(spec.visibility.column, plan.viewer.identity)] * (rule == "owner_only")
+    found = dict(sorted(asked))
+    exact = all(spec.column(c).kind.spark in ("bigint", "long", "int", "string", "boolean") and type(v) in (int, str, bool) for c, v in found.items())
+    return found if exact and len(found) == len(asked) else {}
+
+
 def _with(spec, name: str):
     from rivulet.schema import Column as ColumnSpec
     from rivulet.schema import with_columns
@@ -105,16 +160,20 @@ def _with(spec, name: str):
 
 
 class Router:
-    """``foreachBatch`` target: writes deltas of subscriptions and views for each micro-batch."""
+    """``foreachBatch`` target: writes deltas of subscriptions and views for each micro-batch.
+
+    ``membership`` is a table, or a function of the batch's number that gives it, so changes of membership reach live queries
+    with the next batch. Of a view's states the two newest are kept."""
 
-    def __init__(self, subscriptions: Subscriptions, table: str, out: str, views: tuple[V.MatView, ...] = (), membership: DataFrame | None = None):
+    def __init__(self, subscriptions: Subscriptions, table: str, out: str, views: tuple[V.MatView, ...] = (), membership: DataFrame | Callable[[int], DataFrame] | None = None):
         self.subscriptions, self.table, self.out, self.views, self.membership = subscriptions, table, out.rstrip("/"), views, membership
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
         try:
-            deltas = self.subscriptions.deltas(batch, self.table, self.membership)
+            membership = self.membership(batch_id) if callable(self.membership) else self.membership
+            deltas = self.subscriptions.deltas(batch, self.table, membership)
             if deltas is not None:
                 deltas.write.mode("overwrite").parquet(f"{self.out}/deltas/batch={batch_id}")
             for view in self.views:
@@ -133,6 +192,8 @@ class Router:
         after = V.read_state(view, new)
         before = V.read_state(view, old) if old is not None else after.where(F.lit(False))
         V.view_delta(view, before, after).write.mode("overwrite").parquet(f"{self.out}/views/{view.name}/deltas/batch={batch_id}")
+        if batch_id > 1:
+            discard(spark, f"{path}{batch_id - 2}")  # batch n is done again from n - 1 alone
 
     def view(self, spark: SparkSession, name: str, batch_id: int) -> DataFrame:
         view = next(v for v in self.views if v.name == name)
