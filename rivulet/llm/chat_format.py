@@ -4,11 +4,15 @@ A turn is written ``### role: text</turn>`` and a newline. Inside roles and text
 ``\\l``, ``#`` becomes ``\\h`` and (roles only) ``:`` becomes ``\\c``, so no control string can occur in them, and reading
 back is exact.
 
-Windows: the prefix sums of turn costs (a quarter of the UTF-8 bytes plus four, by default) place each turn in the
-window where its first token falls, so spans always begin and end between turns. A window holds the system turn (if
-the first row of the conversation has that role), then history - the turns of the window before that begin in the last
-``history`` tokens before this window's first turn - and then its own turns. A window stays within ``budget`` as long
-as no own turn costs more than half of what system turn and history leave; a longer turn is never cut.
+Windows: the prefix sums of turn costs place each turn in the window where its first token falls, so spans always begin and
+end between turns. A turn's cost is its tokens: the column ``tokens`` of the turns if the caller has counted them (by any
+encoder; frame tokens included), else an estimate, a quarter of the UTF-8 bytes plus four. A window holds the system turn
+(if the first row of the conversation has that role), then history - the turns of the window before that begin in the last
+``history`` tokens before this window's first turn - and then its own turns. Windows are as far apart as the room that system
+turn and history leave, less the dearest turn of the conversation: so a window stays within ``budget`` if each turn fits
+that room, and is full but for one turn. A turn that does not fit is never cut; its conversation has windows of half the
+room, and the one with that turn is over the budget. Where the system turn and history alone fill the budget, each turn has
+a window of its own.
 
 The loss mask covers assistant texts, as [start, end) code points of the window's text; repeated turns are masked out,
 so each target counts once.
@@ -42,12 +46,14 @@ def turn_cost(text: Column) -> Column:
     return F.ceil(F.octet_length(text) / 4) + 4
 
 
-def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, cost=turn_cost) -> DataFrame:
-    """Rows (conv_id, window, text, loss: array of (start, end), first_new: index of the first turn not repeated)."""
+def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, cost=turn_cost, tokens: str | None = None) -> DataFrame:
+    """Rows (conv_id, window, text, loss: array of (start, end), first_new: index of the first turn not repeated, cost)."""
     conv = Window.partitionBy("conv_id")
     order = conv.orderBy(F.asc_nulls_first("turn"), "role", "text")
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("cost", cost(F.col("text")).cast("long")).withColumn("n", F.row_number().over(order))
+    text = F.coalesce("text", F.lit(""))
+    spent = cost(text) if tokens is None else F.coalesce(F.col(tokens), cost(text))
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), spent.cast("long").alias("cost"))
+    rows = rows.withColumn("n", F.row_number().over(order))
     # The order of rows is settled: n stands for it from here on, and the partitioning is never changed again.
     by_n = conv.orderBy("n")
     before = by_n.rowsBetween(Window.unboundedPreceding, -1)
@@ -58,7 +64,9 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
             "system_cost": F.coalesce(F.first(F.when(F.col("system"), F.col("cost"))).over(by_n.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)),
         }
     )
-    span = F.greatest(F.lit(1), F.floor((F.lit(budget) - F.col("system_cost") - history) / 2))
+    room = F.lit(budget) - F.col("system_cost") - history
+    rows = rows.withColumn("dearest", F.coalesce(F.max(F.when(~F.col("system"), F.col("cost"))).over(conv), F.lit(0)))
+    span = F.greatest(F.lit(1), F.when(F.col("dearest") < room, room - F.col("dearest") + 1).otherwise(F.floor(room / 2)))
     rows = rows.withColumn("window", F.when(F.col("system"), F.lit(0)).otherwise(F.floor(F.col("start") / span)).cast("long"))
     # Numbers without a turn are left out: windows count up one by one.
     rows = rows.withColumn("opens", F.coalesce(F.lag("window").over(by_n) != F.col("window"), F.lit(True)))
@@ -78,7 +86,7 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
         F.when(F.col("system") & (F.col("last_window") > 0), F.concat(own, every)).when(repeats, F.concat(own, F.array(again))).otherwise(own)
     )
     rows = rows.withColumn("copy", F.explode(copies))
-    rows = rows.select("conv_id", F.col("copy.window").alias("window"), F.col("copy.again").alias("again"), "n", "role", "text")
+    rows = rows.select("conv_id", F.col("copy.window").alias("window"), F.col("copy.again").alias("again"), "n", "role", "text", "cost")
     head = F.concat(F.lit("### "), escape(F.col("role"), role=True), F.lit(": "))
     rows = rows.withColumns({"head": head, "body": escape(F.col("text"))})
     piece = F.concat("head", "body", F.lit(_END))
@@ -88,7 +96,7 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     target = (F.col("role") == "assistant") & ~F.col("again")
     rows = rows.withColumn("loss", F.when(target, F.struct(begin.alias("start"), (begin + F.length("body")).alias("end"))))
     out = rows.groupBy("conv_id", "window").agg(
-        F.sort_array(F.collect_list(F.struct("n", piece.alias("piece"), "loss"))).alias("all"), F.sum(F.col("again").cast("int")).alias("first_new")
+        F.sort_array(F.collect_list(F.struct("n", piece.alias("piece"), "loss"))).alias("all"), F.sum(F.col("again").cast("int")).alias("first_new"), F.sum("cost").alias("cost")
     )
     return out.select(
         "conv_id",
@@ -96,6 +104,7 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
         F.array_join(F.col("all.piece"), "").alias("text"),
         F.filter(F.col("all.loss"), lambda x: x.isNotNull()).alias("loss"),
         "first_new",
+        "cost",
     )
 
 

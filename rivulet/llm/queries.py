@@ -127,8 +127,10 @@ ORACLES = {
             SELECT *, n = 1 AND role = 'system' AS sys,
                    coalesce(sum(CASE WHEN n = 1 AND role = 'system' THEN 0 ELSE cost END) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
                    coalesce(max(CASE WHEN n = 1 AND role = 'system' THEN cost END) OVER (PARTITION BY conv_id), 0) AS sys_cost FROM numbered),
+        spans AS (
+            SELECT *, {_BUDGET} - sys_cost - {_HISTORY} AS room, coalesce(max(CASE WHEN NOT sys THEN cost END) OVER (PARTITION BY conv_id), 0) AS dearest FROM placed),
         cells AS (
-            SELECT *, CASE WHEN sys THEN 0 ELSE floor(start / greatest(1, floor(({_BUDGET} - sys_cost - {_HISTORY}) / 2))) END AS cell FROM placed),
+            SELECT *, CASE WHEN sys THEN 0 ELSE floor(start / greatest(1, CASE WHEN dearest < room THEN room - dearest + 1 ELSE floor(room / 2) END)) END AS cell FROM spans),
         opened AS (SELECT *, coalesce(lag(cell) OVER (PARTITION BY conv_id ORDER BY n) <> cell, true) AS opens FROM cells),
         windows AS (
             SELECT *, sum(CAST(opens AS BIGINT)) OVER (PARTITION BY conv_id) - 1 AS last_window,
