@@ -33,7 +33,7 @@ from rivulet.llm.common import arrow_map, binaries
 
 NONE = np.int64(1 << 40)
 WIDEST = 256
-CACHE = 500_000
+CACHE = 300_000
 #: White space beside a space, or a space at an end. In a text without it each space stands between two other characters
 #: and starts a match of its own, whatever the words are.
 _SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

@@ -15,7 +15,7 @@ __all__ = ["BATCH_BYTES", "arrow_map", "binaries", "materialize", "shared_dir",
 
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Most bytes of one Arrow batch handed to Python: bounds a worker's memory whatever the text lengths are.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
