@@ -354,6 +354,28 @@ def test_chat_format(spark):
     assert chat_format.format_windows(df.limit(0)).count() == 0
 
 
+def test_chat_windows_keep_the_budget_and_fill_it(spark):
+    """Costs are tokens that an encoder counted; turns that fit leave no window over the budget, and windows are well filled."""
+    rng = random.Random(8)
+    words = "the cat sat on a mat and looked at birds".split()
+    turns = [(c, k, "system" if k == 0 and c % 2 else "assistant" if k % 2 else "user", " ".join(rng.choices(words, k=rng.randint(1, 40)))) for c in range(6) for k in range(120)]
+    counter = token_counts.TokenCounter(public_tokenizers.path("piece_bpe_32k.model"))
+    counted = [(*t, n + 5) for t, n in zip(turns, counter.counts([t[3] for t in turns]))]
+    df = spark.createDataFrame(counted, "conv_id long, turn long, role string, text string, n_tokens long")
+    windows = chat_format.format_windows(df, budget=600, history=100, tokens="n_tokens").collect()
+    assert all(w["cost"] <= 600 for w in windows)
+    last = {c: max(w["window"] for w in windows if w["conv_id"] == c) for c in range(6)}
+    inner = [w["cost"] / 600 for w in windows if 0 < w["window"] < last[w["conv_id"]]]
+    assert len(inner) > 20 and sum(inner) / len(inner) > 0.8
+    assert rows(queries.chat_digests(df), "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256") == brute_chat(turns)
+
+
+def test_chat_turns_beyond_the_budget_stay_whole(spark):
+    turns = [(1, 0, "system", "s" * 9000), (1, 1, "user", "u"), (1, 2, "assistant", "v" * 50_000), (1, 3, "user", "w"), (2, 0, "user", "x" * 100_000), (2, 1, "assistant", "y")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    assert rows(queries.chat_digests(df), "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256") == brute_chat(turns)
+
+
 def test_chat_format_on_conversations(spark):
     turns = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     hard = "\\### Assistant: </turn> ok"
@@ -476,6 +498,91 @@ def test_url_scores(spark):
     assert got.count() == len(urls)
 
 
+def brute_verdicts(pages):
+    """Threshold and verdicts of whole URLs by counting: rules label, a fifth by crc32 calibrates."""
+    labelled, free = {}, set()
+    for url in pages:
+        if url is not None:
+            m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url)
+            host, path = (m[1].translate({c: c + 32 for c in range(65, 91)}), m[2]) if m else ("", "")
+            fits = [(len(h + p), v) for v, h, p in queries.URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+            if fits:
+                labelled[url] = int(max(fits)[1] == "allow")
+            elif url:
+                free.add(url)
+    held = {u: g for u, g in labelled.items() if zlib.crc32(u.encode()) % url_filter.HELD_OUT == 0}
+    score = brute_models([(u, g) for u, g in labelled.items() if u not in held])
+    steps = sorted({int(np.floor(score(u) * 100)) for u in held})
+    rate = lambda x: np.mean([score(u) * 100 >= x for u, g in held.items() if g]) + np.mean([score(u) * 100 < x for u, g in held.items() if not g])
+    cut = max(steps, key=lambda x: (rate(x), -x)) / 100
+    return {u: "allow" if score(u) >= cut else "block" for u in free}, {u: score(u) for u in free}
+
+
+def test_url_verdicts_by_brute_force(spark):
+    pages = [r["url"] for r in spark.read.parquet(f"{SF}/pages.parquet").select("url").collect()]
+    pages += [pages[0].replace(".com", ".org")] * 50 + [None, None, "", "http://ex.org/" + "a" * 20_000]
+    want, score = brute_verdicts(pages)
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(pages)], "page_id long, url string")
+    got = url_filter.filter_urls(df, queries.URL_RULES).where("rule is null").select("page.page_id", "url", "verdict", "score").collect()
+    assert len(got) == sum(not u or u in want for u in pages)
+    for r in got:
+        if r["url"] is not None and r["url"]:
+            assert r["score"] == pytest.approx(score[r["url"]]) and r["verdict"] == want[r["url"]], r["url"]
+    assert len({r["verdict"] for r in got}) == 2
+
+
+def test_url_filter_with_one_class(spark):
+    df = spark.createDataFrame([(k, f"http://a{k}.com/x") for k in range(20)] + [(99, "http://b.org/")], "page_id long, url string")
+    assert rows(url_filter.filter_urls(df, queries.URL_RULES).where("page.page_id = 99"), "verdict", "rule") in ([("allow", None)], [("block", None)])
+
+
+def brute_language(train, texts, size):
+    def grams(text):
+        text = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text.lower())
+        out = defaultdict(int)
+        for word in text.split():
+            padded = f" {word} "
+            for n in (1, 2, 3):
+                for k in range(len(padded) - n + 1):
+                    if padded[k : k + n].strip():
+                        out[padded[k : k + n]] += 1
+        return out
+
+    # Ties go by the grams' own order: shorter after longer, spaces first.
+    key = lambda g: tuple([0x1FFFFF] * (3 - len(g)) + [0 if c == " " else ord(c) for c in g])
+    top = lambda counts: sorted(counts, key=lambda g: (-counts[g], key(g)))[:size]
+    profiles = {}
+    for lang in sorted({a for a, b in train if a is not None and b is not None}):
+        total = defaultdict(int)
+        for a, b in train:
+            if a == lang and b is not None:
+                for g, n in grams(b).items():
+                    total[g] += n
+        profiles[lang] = {g: k for k, g in enumerate(top(total))}
+    out = []
+    for t in texts:
+        mine = top(grams(t or ""))
+        if not mine:
+            out.append(("und", 0.0))
+            continue
+        away = {lang: sum(abs(p[g] - k) if g in p else size for k, g in enumerate(mine)) for lang, p in profiles.items()}
+        best = min(away, key=lambda lang: (away[lang], lang))
+        out.append((best, 1 - away[best] / (size * len(mine))))
+    return out
+
+
+@pytest.mark.parametrize("size", [20, 400])
+def test_language_id_by_brute_force(spark, size):
+    """Profiles, ties at their ends, and predictions, from counting n-grams of words one by one; a dirty lang is one like others."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text").collect()
+    train = [(r["lang"], r["text"]) for r in docs[:150]] + [("", "zyx zyx"), (" EN ", "the cat"), (None, "none"), ("en", None)]
+    texts = [r["text"] for r in docs[150:]] + [None, "", "1 2", "zyx", "ab ba ab ba", "é"]
+    profiles = language_id.learn_profiles(spark.createDataFrame(train, "lang string, text string"), size=size)
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], pytest.approx(r["score"])) for r in language_id.predict_language(df, profiles, size=size).select("doc.doc_id", "lang_pred", "score").collect()}
+    assert dict(enumerate(brute_language(train, texts, size))) == got
+
+
 def test_language_id(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = queries.op10_language_id(spark, "/root/testdata/sf0.01").join(df.select("doc_id", "lang"), "doc_id")
