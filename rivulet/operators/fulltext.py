@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from rivulet.errors import Unsupported
 from rivulet.schema import Index
+from rivulet.sources.shared import materialize
 
 # The stop words of the english analyzer.
 STOP_WORDS = (
@@ -168,19 +169,32 @@ def with_score(df: DataFrame, text: str, query: str, analyzer: Analyzer) -> Data
     frequency, a single row - and one for the scores. Nothing else is shuffled.
     """
     items = match_items(query, analyzer)
+    return _scored(_counted(df, text, items, analyzer), df.columns, len(items))
+
+
+def _counted(df: DataFrame, text: str, items: list[Item], analyzer: Analyzer) -> DataFrame:
+    """``df`` with ``_dl``, its words, and ``_tf``, how often each item occurs."""
     counted = _let(analyzer.terms(text_column(df, text)), lambda terms: F.struct(F.size(terms).alias("dl"), _counts(terms, items).alias("tf")))
     rows = df.withColumn("_seen", counted)
-    rows = rows.select(*df.columns, F.col("_seen.dl").alias("_dl"), F.col("_seen.tf").alias("_tf"))
-    seen = [F.sum((F.col("_tf")[k] > 0).cast("long")) for k in range(len(items))]
+    return rows.select(*df.columns, F.col("_seen.dl").alias("_dl"), F.col("_seen.tf").alias("_tf"))
+
+
+def _scored(rows: DataFrame, columns: list[str], n: int) -> DataFrame:
+    seen = [F.sum((F.col("_tf")[k] > 0).cast("long")) for k in range(n)]
     corpus = rows.agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avg"), F.array(*seen).alias("_df"))
     found = rows.where(F.forall("_tf", lambda x: x > 0)).crossJoin(F.broadcast(corpus))  # one row
-    parts = [_score(F.col("_n"), F.col("_avg"), F.col("_dl"), F.col("_df")[k], F.col("_tf")[k]) for k in range(len(items))]
-    return found.select(*df.columns, sum(parts[1:], parts[0]).alias("_score"))
+    parts = [_score(F.col("_n"), F.col("_avg"), F.col("_dl"), F.col("_df")[k], F.col("_tf")[k]) for k in range(n)]
+    return found.select(*columns, sum(parts[1:], parts[0]).alias("_score"))
 
 
 def bm25(df: DataFrame, key: str, text: str, query: str, analyzer: Analyzer) -> DataFrame:
-    """(key, _score) of the documents in which every item of ``query`` occurs."""
-    return with_score(df.select(key, text), text, query, analyzer).select(key, "_score")
+    """(key, _score) of the documents in which every item of ``query`` occurs.
+
+    The counts of all documents - a few numbers each - are written first, so texts are analysed once for both passes.
+    """
+    items = match_items(query, analyzer)
+    counts = materialize(_counted(df.select(key, text), text, items, analyzer).select(key, "_dl", "_tf"), "fulltext-counts")
+    return _scored(counts, [key], len(items))
 
 
 def bm25_from_postings(post: DataFrame, lengths: DataFrame, key: str, query: str, analyzer: Analyzer) -> DataFrame:
