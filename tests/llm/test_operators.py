@@ -462,28 +462,36 @@ def test_url_rules(spark):
     assert url_filter.filter_urls(df.limit(0), queries.URL_RULES).count() == 0
 
 
-def brute_models(labelled):
+def brute_models(labelled, entries=url_filter.ENTRIES):
     """Log ratios of the interpolated models, counted directly."""
-    fold = lambda u: "\x01\x01" + re.sub(r"[^\x20-\x7e]", "\x7f", u)
+    order = url_filter.ORDER
+    fold = lambda u: "\u0100" * order + u.encode().decode("latin-1")
     counts = [defaultdict(int), defaultdict(int)]
     for u, good in labelled:
         s = fold(u)
-        for k in range(2, len(s)):
-            for n in range(3):
+        for k in range(order, len(s)):
+            for n in range(order + 1):
                 counts[good][s[k - n : k + 1]] += 1
+    totals = [sum(n for g, n in c.items() if len(g) == 1) for c in counts]
+    kept = {g for g in {*counts[0], *counts[1]} if (counts[0].get(g, 0) + counts[1].get(g, 0)) * entries >= sum(totals)}
+    after = [defaultdict(list), defaultdict(list)]
+    for good in (0, 1):
+        for g, n in counts[good].items():
+            if g in kept:
+                after[good][g[:-1]].append(n)
 
     def probability(c, ctx, good):
-        if ctx is None:
-            total = sum(n for g, n in counts[good].items() if len(g) == 1)
-            return (counts[good].get(c, 0) + 1) / (total + url_filter.SYMBOLS)
-        lower = probability(c, ctx[1:] or None, good)
-        after = [n for g, n in counts[good].items() if len(g) == len(ctx) + 1 and g.startswith(ctx)]
-        return (counts[good].get(ctx + c, 0) + len(after) * lower) / (sum(after) + len(after)) if after else lower
+        if not ctx:
+            return (counts[good].get(c, 0) + 1) / (totals[good] + url_filter.SYMBOLS)
+        lower, next_ones = probability(c, ctx[1:], good), after[good].get(ctx, [])
+        own = counts[good].get(ctx + c, 0) if ctx + c in kept else 0
+        return (own + len(next_ones) * lower) / (sum(next_ones) + len(next_ones)) if next_ones else lower
 
     def score(u):
         s = fold(u)
-        return sum(np.log(probability(s[k], s[k - 2 : k], 1) / probability(s[k], s[k - 2 : k], 0)) for k in range(2, len(s))) / (len(s) - 2)
+        return sum(np.log(probability(s[k], s[k - order : k], 1) / probability(s[k], s[k - order : k], 0)) for k in range(order, len(s))) / (len(s) - order)
 
+    score.kept = kept
     return score
 
 
@@ -498,6 +506,17 @@ def test_url_scores(spark):
     assert got.count() == len(urls)
 
 
+def test_url_scores_by_kept_contexts(spark):
+    """Contexts are longer where the labelled URLs bear them."""
+    labelled = [(f"http://ab{k}.com/é/{k * k}", 1) for k in range(30)] + [(f"https://zz.net/{k}/ü?{k * 7}", 0) for k in range(30)]
+    urls = ["http://ab77.com/é/1", "https://zz.net/q", "日本://x", "/" * 5000]
+    score = brute_models(labelled, 60)
+    assert len({len(g) for g in score.kept}) == url_filter.ORDER + 1 and len(score.kept) < len(brute_models(labelled).kept) / 4
+    got = url_filter.url_scores(spark.createDataFrame([(u,) for u in urls], "url string"), spark.createDataFrame(labelled, "url string, good long"), 60)
+    got = {r["url"]: r["score"] for r in got.collect()}
+    assert got == {u: pytest.approx(score(u)) for u in urls}
+
+
 def brute_verdicts(pages):
     """Threshold and verdicts of whole URLs by counting: rules label, a fifth by crc32 calibrates."""
     labelled, free = {}, set()
