@@ -41,18 +41,19 @@ def texts(ops: DataFrame) -> DataFrame:
     """(doc_id, text): documents are folded one at a time from batches sorted by document."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held: list[pd.DataFrame] = []  # of the document that the last batch ended in
         for frame in frames:
-            frame = frame if held is None else pd.concat([held, frame])
             if frame.empty:
                 continue
-            last = frame["doc_id"].iloc[-1]
-            held = frame[frame["doc_id"] == last]
-            done = frame[frame["doc_id"] != last]
-            rows = [(i, walk(g)) for i, g in done.groupby("doc_id", sort=False)]
+            rows = []
+            for i, part in frame.groupby("doc_id", sort=False):
+                if held and held[0]["doc_id"].iloc[0] != i:
+                    rows.append((held[0]["doc_id"].iloc[0], walk(pd.concat(held))))
+                    held = []
+                held.append(part)
             yield pd.DataFrame(rows, columns=["doc_id", "text"])
-        if held is not None:
-            yield pd.DataFrame([(held["doc_id"].iloc[0], walk(held))], columns=["doc_id", "text"])
+        if held:
+            yield pd.DataFrame([(held[0]["doc_id"].iloc[0], walk(pd.concat(held)))], columns=["doc_id", "text"])
 
     once = ops.dropDuplicates(["doc_id", "kind", "seq", "actor"])
     return once.repartition("doc_id").sortWithinPartitions("doc_id").mapInPandas(run, "doc_id long, text string")

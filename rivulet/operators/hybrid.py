@@ -13,6 +13,7 @@ from rivulet.operators.order import numbered
 
 #: The fusion constant, and how many rows reach retrievers and rerankers.
 RRF_K, TOP = 60, 100
+_HOOK_ERRORS = (PySparkException, ArithmeticError, LookupError, RuntimeError, TypeError, ValueError)
 
 
 def cosine(vector: Column, query: list[float]) -> Column:
@@ -46,6 +47,40 @@ def fused_order() -> list[Column]:
     return [F.desc("score"), F.asc_nulls_last("lexical_rank")]
 
 
+def search(
+    lexical: DataFrame,
+    rows: DataFrame,
+    key: str,
+    score: str,
+    retriever: Callable[[int], DataFrame],
+    fusion: Callable[[DataFrame, DataFrame, str], DataFrame] = fuse,
+    top: int = TOP,
+) -> DataFrame:
+    """(key, score, lexical_rank) of a lexical list fused with what a retriever finds.
+
+    ``lexical`` are the scored matches, ``rows`` the table's rows, both by the request's conditions and the viewer's row
+    rules: what the retriever alone found must be among ``rows``. The retriever gets ``top`` and gives (key, score), of
+    which the best ``top`` count. If it fails the lexical order stands; if the fusion fails ranks are fused as by
+    default; a warning says why.
+    """
+    spark = lexical.sparkSession
+    own = numbered(lexical.select(key, score), [F.desc(score), F.asc(key)], "rank").select(key, "rank")
+    kind = f"`{key}` {lexical.schema[key].dataType.simpleString()}, score double"
+    found: list = []
+    try:
+        best = retriever(top).select(key, F.col("score").cast("double").alias("score")).where("score is not null")
+        found = best.orderBy(F.desc("score"), key).limit(top).collect()  # ``top`` rows at most
+    except _HOOK_ERRORS as e:
+        warnings.warn(f"the retriever failed, the lexical order stands: {e}", stacklevel=2)
+    dense = ranked(spark.createDataFrame(found, kind), key, "score")
+    try:
+        fused = fusion(own, dense, key).select(key, "score", "lexical_rank")
+    except _HOOK_ERRORS as e:
+        warnings.warn(f"the fusion failed, ranks are fused by default: {e}", stacklevel=2)
+        fused = fuse(own, dense, key)
+    return fused.join(rows.select(key), key, "left_semi")
+
+
 def rerank(scored: DataFrame, key: str, score: str, hook: Callable[[DataFrame], DataFrame], top: int = TOP) -> DataFrame:
     """(key, position): the hook orders the top rows, the others follow in their order.
 
@@ -60,7 +95,7 @@ def rerank(scored: DataFrame, key: str, score: str, hook: Callable[[DataFrame],
         order = hook(head).select(key, F.col("rank").cast("int").alias("_rank")).join(F.broadcast(inside.drop("_in")), key, "left_semi")
         rows = order.groupBy(key).agg(F.min("_rank").alias("_rank")).collect()  # ``top`` rows at most
         named = scored.sparkSession.createDataFrame(rows, named.schema)
-    except (PySparkException, ArithmeticError, LookupError, RuntimeError, TypeError, ValueError) as e:
+    except _HOOK_ERRORS as e:
         warnings.warn(f"the reranker failed, its rows keep their order: {e}", stacklevel=2)
     joined = scored.join(F.broadcast(inside), key, "left").join(F.broadcast(named.join(inside.drop("_in"), key, "left_semi")), key, "left")
     order = [F.desc_nulls_last("_in"), F.asc_nulls_last("_rank"), F.desc(score), F.asc(key)]

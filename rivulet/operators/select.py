@@ -8,6 +8,9 @@ becomes a top-k.
 from __future__ import annotations
 
 import hashlib
+import io
+import re
+from contextlib import redirect_stdout
 from dataclasses import dataclass
 from dataclasses import field as _field
 from functools import reduce
@@ -179,37 +182,21 @@ class Compiled:
         out = out if limit is None else out.limit(limit)
         return out if self.select.score or not self.score else out.drop("_score")
 
-    def explain(self) -> dict:
-        """How the layout serves the request: the longest btree prefix of equalities, then one range."""
-        kinds = {c.column: type(c) for c in self.select.where}
-        best, used = "scan", []
-        if isinstance(self.select.spatial, (Region, Radius)):
-            best = f"spatial {self.spec.index('quadtree', 'rtree').kind}"
-        elif any(isinstance(c, Match) for c in self.select.where):
-            best = "fulltext"
-        else:
-            for index in [i for i in self.spec.indexes if i.kind == "btree"]:
-                prefix = []
-                for column in index.columns:
-                    if kinds.get(column) is Eq:
-                        prefix.append(column)
-                        continue
-                    if kinds.get(column) in (Between, Cmp, In):
-                        prefix.append(column)
-                    break
-                if len(prefix) > len(used):
-                    best, used = f"btree({', '.join(index.columns)})", prefix
-            if set(self.spec.primary_key) <= {c for c, k in kinds.items() if k is Eq}:
-                best, used = "primary key", list(self.spec.primary_key)
-        rest = [_condition_text(c) for c in self.select.where if c.column not in used]
+    def explain(self, df: DataFrame) -> dict:
+        """The request in its parts and Spark's plan for it over ``df``: ``access`` is what reaches the scans, ``residual``
+        what is judged row by row after them."""
+        with redirect_stdout(io.StringIO()) as out:
+            self.apply(df).explain("formatted")
+        plan = out.getvalue()
         return {
             "table": self.spec.name,
             "normalized": self.select.normalized(),
-            "access": best,
-            "residual": rest,
+            "access": re.findall(r"PushedFilters: \[(.*)\]", plan),
+            "residual": re.findall(r"Condition : (.*)", plan),
             "order": self.select.order and f"{self.select.order.column} {'desc' if self.select.order.desc else 'asc'}",
             "limit": self.select.limit,
             "cursor": self.select.after,
+            "plan": plan,
         }
 
 

@@ -17,7 +17,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.errors import SubscriptionLimit, TableNotPublic, UnknownQueryId
+from rivulet.errors import SubscriptionLimit, TableNotPublic, UnknownQueryId, UnknownTable
 from rivulet.operators import changes as C
 from rivulet.operators import views as V
 from rivulet.operators.governance import Viewer, project, visible_rows
@@ -41,17 +41,31 @@ class Plan:
 class Subscriptions:
     """Who is subscribed to what; equal requests in an equal scope share a plan."""
 
-    def __init__(self, catalog: Catalog):
+    def __init__(self, catalog: Catalog, views: tuple[V.MatView, ...] = ()):
         self.catalog = catalog
         self.plans: dict[str, Plan] = {}
+        self.views = {v.name: v for v in views}
+        self.readers: dict[str, set[str]] = {}  # of views, by name
+
+    def _admit(self, connection: str) -> None:
+        held = sum(connection in p.connections for p in self.plans.values()) + sum(connection in r for r in self.readers.values())
+        if held >= PER_CONNECTION:
+            raise SubscriptionLimit(f"{connection} has {PER_CONNECTION} subscriptions")
+
+    def add_view(self, connection: str, name: str) -> V.MatView:
+        """Subscribe to a view by its name; its deltas are those that a router writes under that name."""
+        if name not in self.views:
+            raise UnknownTable(f"no view {name}")
+        self._admit(connection)
+        self.readers.setdefault(name, set()).add(connection)
+        return self.views[name]
 
     def add(self, connection: str, select: Select, viewer: Viewer) -> str:
         spec = self.catalog.table(select.table)
         if spec.access != "public" and not viewer.is_peer:
             raise TableNotPublic(f"{spec.name} is {spec.access}")
         query_id = select.query_hash(viewer.scope(spec))
-        if sum(connection in p.connections for p in self.plans.values()) >= PER_CONNECTION:
-            raise SubscriptionLimit(f"{connection} has {PER_CONNECTION} subscriptions")
+        self._admit(connection)
         if query_id not in self.plans:
             if len(self.plans) >= PLANS:
                 raise SubscriptionLimit(f"{PLANS} plans are registered")
@@ -60,7 +74,11 @@ class Subscriptions:
         return query_id
 
     def remove(self, connection: str, query_id: str | None = None) -> None:
-        """One subscription, or all of a connection; the last subscriber takes the plan along."""
+        """One subscription, or all of a connection; the last subscriber takes the plan along. A view goes by its name."""
+        for name in [query_id] if query_id in self.readers else list(self.readers) if query_id is None else []:
+            self.readers[name].discard(connection)
+        if query_id in self.readers:
+            return
         if query_id is not None and query_id not in self.plans:
             raise UnknownQueryId(query_id)
         for plan in [self.plans[query_id]] if query_id else list(self.plans.values()):
@@ -201,12 +219,16 @@ class Router:
 
 
 class CdcSink:
-    """``foreachBatch`` target that hands on changes of chosen tables: whole rows, or keys of deleted ones."""
+    """``foreachBatch`` target that hands on changes of chosen tables: whole rows, or keys of deleted ones.
+
+    A log of several tables names a row's in the column ``table``; ``tables`` are those handed on (None: all)."""
 
-    def __init__(self, key: list[str], out: str):
-        self.key, self.out = key, out.rstrip("/")
+    def __init__(self, key: list[str], out: str, tables: tuple[str, ...] | None = None):
+        self.key, self.out, self.tables = key, out.rstrip("/"), tables
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        if self.tables is not None:
+            batch = batch.where(F.col("table").isin(*self.tables))
         keyed = batch.select("*", *(F.coalesce(F.col(f"after.{k}"), F.col(f"before.{k}")).alias(k) for k in self.key))
         rows = C.cdc(keyed, self.key)
         rows.write.mode("overwrite").parquet(f"{self.out}/batch={batch_id}")

@@ -84,6 +84,26 @@ def test_cdc_sink(spark, stream, tmp_path):
     assert len(rows) == 6 and [(r["id"], r["row"]) for r in rows if r["op"] == "delete"] == [(3, None)]
 
 
+def test_views_are_subscribed_by_name():
+    subs = Subscriptions(Catalog(PLAIN), (MatView("sums", "note", "sum", "v", "owner"),))
+    assert subs.add_view("c1", "sums").column == "v" and subs.readers == {"sums": {"c1"}}
+    with pytest.raises(E.UnknownTable):
+        subs.add_view("c1", "none")
+    subs.remove("c1", "sums")
+    assert subs.readers == {"sums": set()}
+    subs.add_view("c2", "sums")
+    subs.remove("c2")
+    assert subs.readers == {"sums": set()}
+
+
+def test_cdc_sink_of_one_table(spark, tmp_path):
+    log = spark.createDataFrame([("a", 1, "insert", None, (1, "x", 5)), ("b", 2, "insert", None, (2, "y", 6)), (None, 3, "delete", (3, "z", 7), None)], f"table string, {LOG}")
+    CdcSink(["id"], str(tmp_path / "o"), ("a",))(log, 0)
+    CdcSink(["id"], str(tmp_path / "p"))(log, 0)
+    assert [r["id"] for r in spark.read.parquet(str(tmp_path / "o")).collect()] == [1]
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 3
+
+
 def test_stream_operators(spark, tmp_path):
     schema = "who string, k string, at timestamp"
     spark.sql("SELECT 'a' AS who, 'k' AS k, timestamp'2024-01-01 00:00:01' AS at UNION ALL SELECT 'a', 'k', timestamp'2024-01-01 00:00:09' UNION ALL SELECT 'b', 'k', timestamp'2024-01-01 00:01:01'").write.parquet(str(tmp_path / "s"))

@@ -118,10 +118,13 @@ def test_normalized_names_equal_requests():
     assert a.query_hash() != a.query_hash("someone") and a.query_hash() != Select("item").query_hash()
 
 
-def test_explain_names_the_index(spark):
-    plan = compile_select(Select("item", (Eq("category", "a"), Cmp("price", ">", 1), Eq("flag", True))), ITEM).explain()
-    assert plan["access"] == "btree(category, price)" and plan["residual"] == ["flag = TRUE"]
-    assert compile_select(Select("item", (Eq("id", 1),)), ITEM).explain()["access"] == "primary key"
+def test_explain_is_the_plan(spark, tmp_path):
+    items(spark).write.parquet(str(tmp_path / "i"))
+    request = compile_select(Select("item", (Eq("category", "a"), Cmp("price", ">", 1)), order=Order("price", True), limit=5), ITEM)
+    plan = request.explain(spark.read.parquet(str(tmp_path / "i")))
+    assert "EqualTo(category,a)" in plan["access"][0] and "GreaterThan(price,1.0)" in plan["access"][0]
+    assert "isnan" in plan["residual"][0] and "TakeOrderedAndProject" in plan["plan"]
+    assert (plan["table"], plan["order"], plan["limit"], plan["cursor"]) == ("item", "price desc", 5, None)
 
 
 def test_filters_reach_the_scan(spark, tmp_path):
@@ -183,6 +186,29 @@ def test_rerank_survives_its_hook(spark):
     assert order(lambda head: spark.createDataFrame([(3, 1), (99, 2)], "id long, rank int")) == [3, 5, 4, 2, 1, 0]
 
 
+def test_search_survives_its_hooks(spark):
+    from rivulet.operators import hybrid
+
+    lexical = spark.createDataFrame([(1, 2.0), (2, 1.0)], "id long, s double")
+    rows = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    dense = lambda k: spark.createDataFrame([(3, 0.9), (2, 0.8), (9, 0.7), (4, None)], "id long, score double").limit(k)
+    order = lambda df: [r["id"] for r in df.orderBy(*hybrid.fused_order()).collect()]
+    got = hybrid.search(lexical, rows, "id", "s", dense)
+    assert order(got) == [2, 1, 3]  # 9 is no row that may be seen
+    assert {r["id"]: r["lexical_rank"] for r in got.collect()} == {1: 1, 2: 2, 3: None}
+
+    def broken(*_):
+        raise ValueError("down")
+
+    lazy = lambda k: dense(k).withColumn("score", F.raise_error(F.lit("down")).cast("double"))
+    for hook in (broken, lazy):
+        with pytest.warns(UserWarning, match="retriever failed"):
+            assert order(hybrid.search(lexical, rows, "id", "s", hook)) == [1, 2]
+    with pytest.warns(UserWarning, match="fusion failed"):
+        assert order(hybrid.search(lexical, rows, "id", "s", dense, broken)) == [2, 1, 3]
+    assert order(hybrid.search(lexical.limit(0), rows.limit(0), "id", "s", dense)) == []
+
+
 def test_zero_vectors_have_no_cosine(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0])], "id long, v array<float>")
     assert ids(hybrid.vector_topk(df, "id", "v", [1.0, 0.0])) == [2]
