@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from rivulet.plans import catalogue
+from rivulet.plans import catalogue, serving  # noqa: F401 - registers its queries too
 
 SF = "/root/testdata/sf0.001"
 
