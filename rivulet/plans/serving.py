@@ -37,7 +37,7 @@ def _folder(spark, label: str) -> str:
 
 @query("SELECT kind, n_nationkey, n_name, n_regionkey FROM nation, (VALUES ('csv'), ('json'), ('orc'), ('parquet')) k(kind)")
 def file_formats(spark, d):
-    nation = Tables(spark, d).nation.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("long").alias("n_regionkey"))
+    nation = Tables(spark, d).nation.select("n_nationkey", "n_name", "n_regionkey")
     parts = []
     for kind in ("csv", "json", "orc", "parquet"):
         path = _folder(spark, kind)
