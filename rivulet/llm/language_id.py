@@ -10,7 +10,9 @@ or end an n-gram but does not stand inside one. Equal counts are ranked by chara
 everywhere. The score is 1 - distance / greatest possible distance: 1 for a text that ranks like its profile, 0 for one
 that shares no n-gram with any.
 
-What goes to the driver and to tasks is one profile of ``PROFILE`` n-grams for each language, whatever the corpus size.
+What goes to the driver and to tasks is one profile of ``PROFILE`` n-grams for each language, and of ``LANGUAGES`` of them
+at most, whatever the corpus size: a column with more labels than that is no longer one of languages, and those with
+the most text are learned.
 
 Defined cases: ``und`` with score 0 if text is null or has no letter, or if no language was learned; training rows with
 a null language or text are not learned from; an empty table gives an empty table; long texts are counted in slices of
@@ -27,9 +29,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import arrow_map
+from rivulet.llm.byte_bpe import spans
+from rivulet.llm.common import arrow_map, materialize
 
 PROFILE = 400
+#: Most labels that are learned: about what the widest collections of text in known languages have.
+LANGUAGES = 2048
 SLICE = 1 << 20
 _NONE = 0x1FFFFF
 _letter: np.ndarray | None = None
@@ -81,8 +86,9 @@ def most_frequent(keys: np.ndarray, counts: np.ndarray, n: int = PROFILE) -> np.
     return keys[np.lexsort((keys, -counts))][:n]
 
 
-def learn_profiles(train: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE) -> dict[str, np.ndarray]:
-    """The profile of each language over all rows of ``train``."""
+def learn_profiles(train: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE, languages: int = LANGUAGES) -> dict[str, np.ndarray]:
+    """The profile of each language over all rows of ``train``; of more than ``languages`` labels, those whose profiles count the
+    most n-grams (ties: by name)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,27 +106,39 @@ def learn_profiles(train: DataFrame, text_col: str = "text", lang_col: str = "la
     part = Window.partitionBy("lang", F.pmod("gram", F.lit(64))).orderBy(*order)  # so no task ranks a whole language
     few = sums.withColumn("r", F.row_number().over(part)).where(F.col("r") <= size)
     top = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= size)
-    profiles: dict[str, list] = {}
-    for row in top.select("lang", "gram", "r").collect():  # ``size`` rows for each language
-        profiles.setdefault(row["lang"], []).append((row["r"], row["gram"]))
-    return {lang: np.array([g for _, g in sorted(rows)], np.int64) for lang, rows in sorted(profiles.items())}
+    top = materialize(top.select("lang", "gram", "r", "n"), "language-profiles")
+    most = top.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+    found = top.join(F.broadcast(most), "lang", "left_semi").select("lang", "gram", "r").toArrow()  # ``languages`` times ``size`` rows at most
+    found = found.sort_by([("lang", "ascending"), ("r", "ascending")])
+    langs, sizes = np.unique(np.array(found["lang"].to_pylist(), object), return_counts=True)
+    grams = np.split(found["gram"].to_numpy(), np.cumsum(sizes)[:-1])
+    return dict(zip(langs.tolist(), grams))
 
 
 class ProfileTable:
+    """The n-grams of all profiles, each with the languages that have it and its ranks there."""
+
     def __init__(self, profiles: dict[str, np.ndarray], size: int = PROFILE):
         self.langs, self.size = list(profiles), size
-        self.keys = np.unique(np.concatenate(list(profiles.values()))) if profiles else np.zeros(0, np.int64)
-        self.ranks = np.full((len(self.keys) + 1, len(profiles)), -1, np.int64)  # the last row: in no profile
-        for k, grams in enumerate(profiles.values()):
-            self.ranks[np.searchsorted(self.keys, grams), k] = np.arange(len(grams))
+        grams = np.concatenate([*profiles.values(), np.zeros(0, np.int64)]).astype(np.int64)
+        order = np.argsort(grams, kind="stable")
+        self.keys, first = np.unique(grams[order], return_index=True)
+        self.first = np.append(first, len(grams))
+        self.lang = np.repeat(np.arange(len(profiles)), np.array([len(g) for g in profiles.values()], np.int64))[order]
+        self.rank = np.concatenate([*(np.arange(len(g)) for g in profiles.values()), np.zeros(0, np.int64)])[order]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         grams = most_frequent(*gram_counts(text), self.size) if text else np.zeros(0, np.int64)
-        if not len(grams) or not self.langs:
+        if not len(grams) or not len(self.keys):
             return "und", 0.0
         at = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
-        ranks = self.ranks[np.where(self.keys[at] == grams, at, len(self.keys))]
-        away = np.where(ranks < 0, self.size, np.abs(ranks - np.arange(len(grams))[:, None])).sum(axis=0)
+        known = np.flatnonzero(self.keys[at] == grams)
+        at = at[known]
+        held = self.first[at + 1] - self.first[at]
+        entry = spans(self.first[at], held)
+        # What a profile lacks is ``size`` away; what it has is nearer by so much.
+        nearer = self.size - np.abs(self.rank[entry] - np.repeat(known, held))
+        away = self.size * len(grams) - np.bincount(self.lang[entry], nearer, len(self.langs))
         best = int(away.argmin())
         return self.langs[best], float(1 - away[best] / (self.size * len(grams)))
 

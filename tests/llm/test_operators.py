@@ -637,6 +637,18 @@ def test_language_id_profiles(spark, docs):
     assert language_id.predict_language(empty(spark), {}).count() == 0
 
 
+def test_language_id_learns_so_many_labels(spark):
+    """Of a dirty column the labels with the most text are learned, ties by name; the others' texts go to the nearest of these."""
+    train = [(f"l{k:03d}", "ab" * (50 if k in (7, 8) else 3) + chr(97 + k % 26)) for k in range(300)]
+    df = spark.createDataFrame(train, "lang string, text string")
+    profiles = language_id.learn_profiles(df, languages=2)
+    assert list(profiles) == ["l007", "l008"]
+    assert list(language_id.learn_profiles(df.where("lang > 'l100'"), languages=3)) != list(profiles)
+    assert len(language_id.learn_profiles(df)) == 300
+    got = language_id.predict_language(df, profiles)
+    assert {r["lang_pred"] for r in got.collect()} <= set(profiles) and got.count() == 300
+
+
 def test_language_id_long_text_in_slices(monkeypatch):
     text = "Straße und Wege, " * 400
     whole = language_id.gram_counts(text)
