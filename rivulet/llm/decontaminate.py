@@ -316,7 +316,7 @@ _NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
 
 def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
     """Items in blocks of bounded bytes, streamed through the driver; one item's text is the least a block can hold."""
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).where("t is not null").withColumn("n", F.octet_length("t"))
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).withColumn("n", F.octet_length("t")).where("n > 0")
     block, size = [], 0
     for row in items.toLocalIterator():
         if block and size + row["n"] > block_bytes:
