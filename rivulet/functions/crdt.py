@@ -7,22 +7,25 @@ order the operations came in, and however often.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 OPS = "doc_id long, kind string, seq long, actor long, parent_seq long, parent_actor long, ch string"
+#: Operations that a task folds, on average: more operations make more tasks.
+TASK_OPS = 1 << 19
 
 
-def walk(ops: pd.DataFrame) -> str:
-    """The text of one document's operations."""
+def walk(ops: Iterable[tuple]) -> str:
+    """The text of one document's operations: (kind, seq, actor, parent_seq, parent_actor, ch)."""
     inserts, deleted = {}, set()
-    for kind, seq, actor, p_seq, p_actor, ch in ops[["kind", "seq", "actor", "parent_seq", "parent_actor", "ch"]].itertuples(index=False):
-        parent = None if pd.isna(p_seq) else (int(p_seq), int(p_actor))
+    for kind, seq, actor, p_seq, p_actor, ch in ops:
+        parent = None if p_seq is None else (p_seq, p_actor)
         if kind == "insert":
-            inserts[(int(seq), int(actor))] = (parent, ch)
+            inserts[(seq, actor)] = (parent, ch)
         else:
             deleted.add(parent)
     below: dict = {}
@@ -38,25 +41,27 @@ def walk(ops: pd.DataFrame) -> str:
 
 
 def texts(ops: DataFrame) -> DataFrame:
-    """(doc_id, text): documents are folded one at a time from batches sorted by document."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []  # of the document that the last batch ended in
-        for frame in frames:
-            if frame.empty:
-                continue
-            rows = []
-            for i, part in frame.groupby("doc_id", sort=False):
-                if held and held[0]["doc_id"].iloc[0] != i:
-                    rows.append((held[0]["doc_id"].iloc[0], walk(pd.concat(held))))
-                    held = []
-                held.append(part)
-            yield pd.DataFrame(rows, columns=["doc_id", "text"])
-        if held:
-            yield pd.DataFrame([(held[0]["doc_id"].iloc[0], walk(pd.concat(held)))], columns=["doc_id", "text"])
-
-    once = ops.dropDuplicates(["doc_id", "kind", "seq", "actor"])
-    return once.repartition("doc_id").sortWithinPartitions("doc_id").mapInPandas(run, "doc_id long, text string")
+    """(doc_id, text): documents are folded one at a time from batches sorted by document.
+
+    Operations are dealt out by document to a number of tasks that follows their count. Left to Spark it would follow their
+    compressed bytes, which are few, so that a task's memory grew with the table.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        found: tuple[list, list] = ([], [])
+        for i, part in groupby(rows, lambda row: row[0]):
+            found[0].append(i)
+            found[1].append(walk(row[1:] for row in part))
+            if len(found[0]) == 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.string())], ["doc_id", "text"])
+                found = ([], [])
+        yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.string())], ["doc_id", "text"])
+
+    tasks = max(1, -(-ops.count() // TASK_OPS))
+    dealt = ops.repartition(tasks, "doc_id").dropDuplicates(["doc_id", "kind", "seq", "actor"])
+    kept = dealt.select("doc_id", "kind", "seq", "actor", "parent_seq", "parent_actor", "ch")
+    return kept.sortWithinPartitions("doc_id").mapInArrow(run, "doc_id long, text string")
 
 
 def patch(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -567,3 +567,11 @@ def test_a_match_is_answered_from_stored_postings(spark, tmp_path):
     assert [(r["id"], r["_score"]) for r in stored.collect()] == direct and direct
     assert "EqualTo(term,king" in stored._jdf.queryExecution().executedPlan().toString()
     assert "regexp_extract_all" not in stored._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_dealt_to_tasks_by_their_operations(spark, monkeypatch):
+    monkeypatch.setattr(crdt, "TASK_OPS", 50)
+    ops = [o for k in range(40) for o in crdt.typed(k, f"text {k}")]
+    found = crdt.texts(spark.createDataFrame(ops + ops, crdt.OPS))
+    assert {r["doc_id"]: r["text"] for r in found.collect()} == {k: f"text {k}" for k in range(40)}
+    assert found.rdd.getNumPartitions() == -(-2 * len(ops) // 50)
