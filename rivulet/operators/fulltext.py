@@ -232,10 +232,12 @@ class StoredIndex:
 
     @classmethod
     def write(cls, df: DataFrame, key: str, text: str, analyzer: Analyzer, path: str) -> StoredIndex:
-        post = postings(df, key, text, analyzer)
+        # Texts are analysed once: the sampling of ranges, the postings and the lengths read what is written here.
+        terms = materialize(df.select(key, analyzer.terms(text_column(df, text)).alias("_terms")), "fulltext-terms")
+        post = terms.select(key, F.explode("_terms").alias("t")).select(key, "t.term", "t.pos")
         # Common terms are split over files by key; a term's postings lie together all the same.
         post.repartitionByRange("term", key).sortWithinPartitions("term", key, "pos").write.parquet(f"{path}/postings")
-        document_lengths(df, key, text, analyzer).write.parquet(f"{path}/lengths")
+        terms.select(key, F.size("_terms").cast("long").alias("dl")).write.parquet(f"{path}/lengths")
         return cls.read(df.sparkSession, path)
 
     @classmethod
