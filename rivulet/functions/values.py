@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column
+import unicodedata
+
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from rivulet.sources.shared import bound_batches
+
+#: Texts that Python holds at once as strings of its own.
+SLICE = 64
+
 
 def money(text: Column, scale: int) -> Column:
     """Exact decimal of a text: sign, digits, at most ``scale`` significant decimals; anything else is an error."""
@@ -24,13 +31,26 @@ def money_from_minor_units(units: Column, scale: int) -> Column:
 
 
 def normalize_string(text: Column, form: str | None = None, case: str | None = None, trim: bool = False) -> Column:
-    """Trim and case in the JVM; Unicode forms, which Spark lacks, through an Arrow function."""
-    if form:
-        @F.pandas_udf("string")
-        def normal(s: pd.Series) -> pd.Series:
-            return s.str.normalize(form.upper())
+    """Trim and case in the JVM; Unicode forms, which Spark lacks, through an Arrow function.
 
-        text = normal(text)
+    Texts that no form changes stay in the JVM: of ASCII alone, and for NFC of characters below U+0300 alone. The others go in
+    batches of bounded bytes, of which Python holds a slice at a time as its own strings.
+    """
+    if form:
+        bound_batches(SparkSession.active())
+        plain = F.octet_length(text) == F.length(text)
+        if form.lower() == "nfc":
+            plain = plain | text.rlike(r"^[\x00-\u02FF]*$")
+
+        @F.arrow_udf("string")
+        def normal(texts: pa.Array) -> pa.Array:
+            parts = [pa.array([], pa.string())]
+            for k in range(0, len(texts), SLICE):
+                some = texts.slice(k, SLICE).to_pylist()
+                parts.append(pa.array([None if t is None else unicodedata.normalize(form.upper(), t) for t in some], pa.string()))
+            return pa.concat_arrays(parts)
+
+        text = F.when(plain, text).otherwise(normal(F.when(~plain, text)))
     text = F.lower(text) if case in ("lower", "fold") else text
     return F.trim(text) if trim else text
 

@@ -9,20 +9,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from rivulet.sources.shared import materialize, shared_dir, write_once
+from rivulet.sources.shared import BATCH_BYTES, bound_batches, materialize, shared_dir, write_once
 
 __all__ = ["BATCH_BYTES", "arrow_map", "binaries", "materialize", "shared_dir", "sorted_groups", "words_of", "write_once"]
 
-_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-#: Most bytes of one Arrow batch handed to Python: bounds a worker's memory whatever the text lengths are.
-BATCH_BYTES = 4 << 20
-
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with bounded batch bytes."""
-    spark = df.sparkSession
-    if spark.conf.get(_BATCH_BYTES) == "67108864b":  # the default; a user's own choice stands
-        spark.conf.set(_BATCH_BYTES, f"{BATCH_BYTES}b")
+    bound_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 

@@ -9,6 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from rivulet.errors import EngineError
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Most bytes of one Arrow batch handed to Python: bounds a worker's memory whatever the text lengths are.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to ``BATCH_BYTES``, unless the session has its own bound."""
+    if spark.conf.get(_BATCH_BYTES) == "67108864b":  # the default; a user's own choice stands
+        spark.conf.set(_BATCH_BYTES, f"{BATCH_BYTES}b")
 
 
 def shared_dir(spark: SparkSession) -> str:
