@@ -87,6 +87,36 @@ def postings(df: DataFrame, key: str, text: str, analyzer: Analyzer) -> DataFram
     return terms.select(key, "t.term", "t.pos")
 
 
+def by_term(terms: Column) -> Column:
+    """array<struct<term, positions>> of a text's terms: each term once with its positions ascending, by one sort in the row."""
+
+    def runs(sorted_terms: Column) -> Column:
+        begins = F.transform(sorted_terms, lambda x, i: F.struct(i.alias("at"), ((i == 0) | (x["term"] != F.get(sorted_terms, i - 1)["term"])).alias("new")))
+        return _let(F.filter(begins, lambda x: x["new"]), lambda firsts: F.transform(firsts, lambda x, k: run(sorted_terms, x["at"], F.get(firsts, k + 1)["at"])))
+
+    def run(sorted_terms: Column, begin: Column, end: Column) -> Column:
+        places = F.slice(sorted_terms, begin + 1, F.coalesce(end, F.size(sorted_terms)) - begin)
+        return F.struct(F.get(sorted_terms, begin)["term"].alias("term"), F.transform(places, lambda x: x["pos"]).alias("positions"))
+
+    return _let(F.sort_array(F.transform(terms, lambda x: F.struct(x["term"].alias("term"), x["pos"].alias("pos")))), runs)
+
+
+def term_counts(df: DataFrame, key: str, text: str, analyzer: Analyzer) -> DataFrame:
+    """(key, term, tf, first_pos) for each key and term.
+
+    A row's words are counted in the row. Only rows that share their key with others are shuffled, to add up their counts.
+    """
+    shared = materialize(df.groupBy(key).count().where("count > 1").select(F.col(key).alias("_key")), "fulltext-shared-keys")
+
+    def counts(rows: DataFrame) -> DataFrame:
+        terms = rows.select(key, F.explode(by_term(analyzer.terms(text_column(rows, text)))).alias("t"))
+        return terms.select(key, "t.term", F.size("t.positions").cast("long").alias("tf"), F.get("t.positions", F.lit(0)).alias("first_pos"))
+
+    rows, same = df.select(key, text), F.col(key).eqNullSafe(F.col("_key"))
+    added = counts(rows.join(shared, same, "left_semi")).groupBy(key, "term").agg(F.sum("tf").alias("tf"), F.min("first_pos").alias("first_pos"))
+    return counts(rows.join(shared, same, "left_anti")).unionByName(added)
+
+
 def document_lengths(df: DataFrame, key: str, text: str, analyzer: Analyzer) -> DataFrame:
     """(key, dl): kept words of each document; a null text has none but is a document."""
     return df.select(key, F.size(analyzer.terms(text_column(df, text))).cast("long").alias("dl"))

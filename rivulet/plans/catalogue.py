@@ -305,8 +305,7 @@ def fts_postings(spark, d):
 @query(f"WITH {_WORDS} SELECT doc_id, term, count(*) AS tf, min(pos) AS first_pos FROM words GROUP BY ALL")
 def fts_postings_full(spark, d):
     """The postings as one row for a document and term."""
-    post = FT.postings(Tables(spark, d).documents, "doc_id", "text", SIMPLE)
-    return post.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos"))
+    return FT.term_counts(Tables(spark, d).documents, "doc_id", "text", SIMPLE)
 
 
 @query(

@@ -605,3 +605,13 @@ def test_unicode_forms_in_batches_of_bounded_bytes(spark, monkeypatch):
         assert got == {k: t if t is None else unicodedata.normalize(form.upper(), t) for k, t in enumerate(texts)}
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4194304b"
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", told)
+
+
+def test_term_counts_shuffle_no_words_and_add_up_shared_keys(spark):
+    rows = [(1, "b a B"), (2, "a"), (2, "c a"), (None, "a"), (None, "a b"), (3, None), (4, ""), (5, "A" * 3)]
+    df = spark.createDataFrame(rows, "id long, note string")
+    found = fulltext.term_counts(df, "id", "note", fulltext.Analyzer())
+    want = [(1, "a", 1, 1), (1, "b", 2, 0), (2, "a", 2, 0), (2, "c", 1, 0), (5, "aaa", 1, 0), (None, "a", 2, 0), (None, "b", 1, 1)]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+    stages = found._jdf.queryExecution().sparkPlan().toString()
+    assert stages.count("HashAggregate") == 2  # partial and final, of the rows that share their key
