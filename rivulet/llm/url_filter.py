@@ -1,17 +1,19 @@
 """URL filter: host and path rules first, a character language-model ratio for the rest. DataFrame operations alone.
 
 The method: two smoothed variable-order Markov models over the bytes of URLs, one of the accepted and one of the
-rejected. A context has up to ``ORDER`` bytes, and is as long as the training URLs bear: of each length the n-grams are
-kept that are at least one in ``ENTRIES`` of all. Orders are interpolated by Witten-Bell weights over what is kept, so each model is
-a distribution, and a context that is not kept hands all its weight to the next shorter one. A URL's score is the
-mean over its bytes of log P(accepted) - log P(rejected); it is accepted if the score reaches a threshold, calibrated
-on a held-out fifth of the labelled URLs.
-
-Sizes: n-grams are counted over all labelled URLs; at most ``ENTRIES`` of each length can be one in ``ENTRIES`` of all,
-and there are 256 single bytes, so every table that is broadcast has at most ``ENTRIES`` rows of at most ``ORDER`` + 1
-bytes, whatever the input is. Scores are computed once for each distinct URL. URLs that are one row in ``COMMON`` or more, of which there are
-``COMMON`` at most, get theirs by broadcast, so a URL on a third of all rows gathers in no task. A URL's bytes travel
-with its SHA-256, not with the URL, so a long one costs its length and not its square.
+rejected. A context has up to ``ORDER`` bytes, and is as long as the training URLs bear: each n-gram in them is kept,
+however rare. Orders are interpolated by Witten-Bell weights, so each model is a distribution, and a context that was
+not seen hands all its weight to the next shorter one. A URL's score is the mean over its bytes of log P(accepted) -
+log P(rejected), each rounded to 12 decimals so that the order of adding does not matter; it is accepted if the score
+reaches a threshold, calibrated on a held-out fifth of the labelled URLs.
+
+Sizes: n-grams are counted over all labelled URLs. Those of up to ``SHORT`` bytes, of which the alphabet allows
+257 x 256 at most, are broadcast; longer ones meet by shuffle, where the alphabet bounds the rows of a key too. Each
+distinct window of ``ORDER`` + 1 bytes is looked up once. Windows that are one in ``ENTRIES`` of all or more, of which
+there are ``ENTRIES`` at most, reach the URLs by broadcast, the rest by shuffle. Scores are computed once for each
+distinct URL. URLs that are one row in ``COMMON`` or more, of which there are ``COMMON`` at most, get theirs by
+broadcast, so a URL on a third of all rows gathers in no task. A URL's bytes travel with a number, not with the URL, so
+a long one costs its length and not its square.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, fits no rule, and is scored as its text
 (null: empty, score 0); with no labelled URLs at all the models are uniform and the threshold is 0; of equal best
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 from rivulet.llm.common import materialize
 
 SYMBOLS = 256
-ORDER, ENTRIES = 4, 1 << 16
+#: Longest context; windows broadcast; bytes of the n-grams broadcast.
+ORDER, ENTRIES, SHORT = 4, 1 << 16, 2
 #: Stands before a URL; no byte, as those are the characters below U+0100.
 _START = "\u0100"
 #: One URL in so many of the labelled ones calibrates the threshold; the others train the models.
@@ -73,16 +76,24 @@ def _last(n: int) -> Column:
     return F.substring("g", ORDER + 2 - n, n)
 
 
-def _models(train: DataFrame, entries: int = ENTRIES) -> tuple[dict[int, DataFrame], dict[int, DataFrame]]:
-    """Log ratios from labelled URLs (``url``, ``good`` 1 or 0): of n-grams kept (``key``, ``ratio``), by the length of
-    their context, and of the weights that contexts (``key``, ``weight``) leave to shorter ones, by length."""
+def _sided(df: DataFrame, length: int) -> DataFrame:
+    """A side of a join by strings of ``length`` bytes: broadcast where the alphabet bounds it, else sorted."""
+    return F.broadcast(df) if length <= SHORT else df.hint("merge")
+
+
+def _models(train: DataFrame, entries: int | None = None) -> tuple[dict[int, DataFrame], dict[int, DataFrame]]:
+    """Log ratios from labelled URLs (``url``, ``good`` 1 or 0): of n-grams (``key``, ``ratio``), by the length of
+    their context, and of the weights that contexts (``key``, ``weight``) leave to shorter ones, by length. With
+    ``entries``, n-grams of more than a byte are pruned to those that are one in so many of all."""
     full = _grams(train, "good").groupBy("g").agg(F.sum("good").alias("n1"), F.sum(1 - F.col("good")).alias("n0"))
     full = materialize(full, "url-grams")
     seen = full.agg(F.sum("n1"), F.sum("n0")).first()
     total = {1: seen[0] or 0, 0: seen[1] or 0}
     keys = full.select(F.explode(F.array(*(_last(n) for n in range(1, ORDER + 2)))).alias("key"), "n1", "n0")
     kept = keys.groupBy("key").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    kept = materialize(kept.where((F.length("key") == 1) | ((F.col("n1") + F.col("n0")) * entries >= sum(total.values()))), "url-kept")
+    if entries is not None:
+        kept = kept.where((F.length("key") == 1) | ((F.col("n1") + F.col("n0")) * entries >= sum(total.values())))
+    kept = materialize(kept, "url-kept")
 
     every = train.sparkSession.createDataFrame([(chr(x),) for x in range(SYMBOLS)], "key string")
     now = every.join(F.broadcast(kept.where("length(key) = 1")), "key", "left")
@@ -95,7 +106,7 @@ def _models(train: DataFrame, entries: int = ENTRIES) -> tuple[dict[int, DataFra
         sums = [x for k in (1, 0) for x in (F.sum(f"n{k}").alias(f"m{k}"), F.count(F.when(F.col(f"n{k}") > 0, 1)).alias(f"t{k}"))]
         ctx = materialize(own.groupBy("ctx").agg(*sums), "url-contexts")
         below = now.select(F.col("key").alias("short"), F.col("p1").alias("l1"), F.col("p0").alias("l0"))
-        now = own.join(F.broadcast(ctx), "ctx").join(F.broadcast(below), "short")
+        now = own.join(_sided(ctx, order), "ctx").join(_sided(below, order), "short")
         for k in (1, 0):
             now = now.withColumn(f"p{k}", _smooth(k))
         now = grams[order] = materialize(now.select("key", "p1", "p0"), f"url-order-{order}")
@@ -115,25 +126,35 @@ def _left(k: int) -> Column:
     return F.when(m > 0, t / (m + t)).otherwise(F.lit(1.0))
 
 
-def url_scores(urls: DataFrame, labelled: DataFrame, entries: int = ENTRIES) -> DataFrame:
-    """(url, score) for each distinct non-null url of ``urls`` that is not empty, by models of ``labelled`` (url, good)."""
+def url_scores(urls: DataFrame, labelled: DataFrame, entries: int | None = None, hot: int = ENTRIES) -> DataFrame:
+    """(url, score) for each distinct non-null url of ``urls`` that is not empty, by models of ``labelled`` (url, good).
+
+    ``entries`` prunes the models; ``hot`` is where windows are broadcast, which changes no score.
+    """
     grams, contexts = _models(labelled, entries)
     # Dealt out by size: a row of a URL becomes one for each byte, so partitions of the usual bytes would be few.
     size = urls.agg(F.sum(F.octet_length("url"))).first()[0] or 0
     tasks = max(urls.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
-    named = urls.select("url").where("url is not null").distinct().withColumn("id", F.sha2("url", 256)).repartition(tasks, "id")
-    at = _grams(named, "id")
-    ratio = None
+    named = urls.select("url").where("url is not null").distinct().withColumn("id", F.monotonically_increasing_id())
+    named = materialize(named, "url-named")
+    at = _grams(named.repartition(tasks, "id"), "id")
+    windows = materialize(at.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "url-windows")
+    ratio, each = None, windows
     for k in range(ORDER + 1):
         found = grams[k].select("key", F.col("ratio").alias(f"r{k}"))
-        at = at.withColumn("key", _last(k + 1)).join(F.broadcast(found), "key", "left").drop("key")
+        each = each.withColumn("key", _last(k + 1)).join(_sided(found, k + 1), "key", "left").drop("key")
         if k:
             weight = contexts[k].select("key", F.col("weight").alias(f"w{k}"))
-            at = at.withColumn("key", F.substring("g", ORDER + 1 - k, k)).join(F.broadcast(weight), "key", "left").drop("key")
+            each = each.withColumn("key", F.substring("g", ORDER + 1 - k, k)).join(_sided(weight, k), "key", "left").drop("key")
             ratio = F.coalesce(f"r{k}", F.coalesce(f"w{k}", F.lit(0.0)) + ratio)
         else:
             ratio = F.col("r0")
-    scored = at.groupBy("id").agg(F.avg(ratio).alias("score"))
+    each = materialize(each.select("g", "n", ratio.cast("decimal(18,12)").alias("ratio")), "url-ratios")
+    often = F.col("n") * hot >= (each.agg(F.sum("n")).first()[0] or 0)
+    common, rare = each.where(often).select("g", "ratio"), each.where(~often).select("g", "ratio")
+    met = at.join(F.broadcast(common), "g").select("id", "ratio")
+    rest = at.join(F.broadcast(common.select("g")), "g", "left_anti").join(rare.hint("merge"), "g").select("id", "ratio")
+    scored = met.union(rest).groupBy("id").agg((F.sum("ratio").cast("double") / F.count(F.lit(1))).alias("score"))
     return named.join(scored, "id").select("url", "score")
 
 

@@ -517,6 +517,19 @@ def test_url_scores_by_kept_contexts(spark):
     assert got == {u: pytest.approx(score(u)) for u in urls}
 
 
+def test_url_scores_keep_rare_grams(spark):
+    """N-grams rarer than one in ``ENTRIES`` count, whether their windows are broadcast or shuffled."""
+    labelled = [("http://aa.com/" + "ab" * 40_000, 1), ("http://zz.net/es/qwvü", 0), ("http://cc.com/xyz", 1)]
+    urls = ["http://b.org/qwv", "qwvü", "xyz", "http://cc.co/xyz", "http://b.org/" + "ab" * 3000 + "qwv" * 5, "日本"]
+    score = brute_models(labelled, 10**9)
+    assert len(score.kept) > len(brute_models(labelled).kept) + 50
+    df, train = spark.createDataFrame([(u,) for u in urls], "url string"), spark.createDataFrame(labelled, "url string, good long")
+    got = {r["url"]: r["score"] for r in url_filter.url_scores(df, train).collect()}
+    assert got == {u: pytest.approx(score(u)) for u in urls}
+    for hot in (40, 0):
+        assert got == {r["url"]: r["score"] for r in url_filter.url_scores(df, train, hot=hot).collect()}
+
+
 def brute_verdicts(pages):
     """Threshold and verdicts of whole URLs by counting: rules label, a fifth by crc32 calibrates."""
     labelled, free = {}, set()
